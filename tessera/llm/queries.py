@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import token_counts
-from tessera.llm.shared import table
+from tessera.llm import exact_dedup, packing, token_counts
+from tessera.llm.shared import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,9 +23,28 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older snapshot: rows whose crc32(doc_id as text) is even; the rest is the incoming batch."""
+    found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), fold_of(2) == 0)
+    return found.withColumnRenamed("digest", "text_sha256")
+
+
+OP9_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_token_counts": op1_token_counts}
+    return {"op1_token_counts": op1_token_counts, "op9_exact_dedup": op9_exact_dedup, "op10_best_fit_packing": op10_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_exact_dedup": OP9_SQL}
