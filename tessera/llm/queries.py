@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, packing, token_counts
-from tessera.llm.shared import fold_of, table
+from tessera.llm import exact_dedup, jaccard_join, packing, token_counts, warc
+from tessera.llm.shared import fold_of, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,8 +42,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages to archives in the shared folder and reads them back."""
+    pages = table(spark, sf_dir, "pages")
+    archives = materialize(warc.write_archives(warc.plan_records(pages, "page_id", "url", "html", 0)), "archives")
+    read = warc.read_archives(archives)
+    return read.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_token_counts": op1_token_counts, "op9_exact_dedup": op9_exact_dedup, "op10_best_fit_packing": op10_best_fit_packing}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op4_warc": op4_warc,
+        "op9_exact_dedup": op9_exact_dedup,
+        "op10_best_fit_packing": op10_best_fit_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
