@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, jaccard_join, packing, token_counts, warc
+from tessera.llm import exact_dedup, fingerprints, jaccard_join, packing, token_counts, warc
 from tessera.llm.shared import fold_of, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,11 +54,16 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op4_warc": op4_warc,
+        "op5_document_fingerprints": op5_document_fingerprints,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
