@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, fingerprints, jaccard_join, packing, token_counts, warc
+from tessera.llm import exact_dedup, fingerprints, jaccard_join, language_id, packing, token_counts, toxicity, warc
 from tessera.llm.shared import fold_of, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,12 +58,26 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold_of(5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (fold_of(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, fold_of(4) != 2)
+    return language_id.predict(docs, model).select("doc_id", (fold_of(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_toxicity": op3_toxicity,
         "op4_warc": op4_warc,
         "op5_document_fingerprints": op5_document_fingerprints,
+        "op7_language_id": op7_language_id,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
