@@ -4,9 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.shared import materialize, table
+from tessera.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
+from tessera.llm.queries import MAX_REPEATS, vocabulary_path
+from tessera.llm.shared import fold_of, materialize, table
 
-STAGES: list = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be toxic go. It learns as op3 does."""
+    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), fold_of(5) != 0))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the largest id stays."""
+    return exact_dedup.surviving(docs, fold_of(2) == 0)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked texts, the one with the least id stays."""
+    return jaccard_join.representatives(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once; those of rarer sources again, as their weight asks."""
+    return mixing.mix(docs, MAX_REPEATS).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(docs, vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
 #: No stage of a learned classifier can be put in SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None

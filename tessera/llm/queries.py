@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, fingerprints, jaccard_join, language_id, packing, token_counts, toxicity, warc
+from tessera.llm import exact_dedup, fingerprints, html_extract, jaccard_join, language_id, mixing, packing, token_counts, toxicity, warc
 from tessera.llm.shared import fold_of, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,45 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", (fold_of(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.trained())
+
+
+#: No source is repeated more than so many times as often as the one that is repeated least.
+MAX_REPEATS = 1.5
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), MAX_REPEATS)
+    return mixed.select("doc_id", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.round("mix_weight", 9).alias("weight"))
+
+
+#: The exponent in closed form; blocks, permutations and cuts as the operator defines them.
+OP8_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(1 + length(text) - length(replace(text, ' ', '')) + length(text) - length(replace(text, chr(10), '')), 0) AS n,
+         ('0x' || substr(md5(concat_ws(':', '1', doc_id)), 1, 8))::BIGINT % {mixing.BLOCKS} AS block,
+         ('0x' || substr(md5(concat_ws(':', '1', doc_id)), 9, 12))::BIGINT AS v
+  FROM documents),
+s AS (SELECT source, sum(n)::DOUBLE AS n FROM d GROUP BY source),
+e AS (SELECT CASE WHEN max(n) <= {MAX_REPEATS} * min(n) THEN 0 ELSE 1 - ln({MAX_REPEATS}) / ln(max(n) / min(n)) END AS e FROM s),
+w AS (SELECT source, n, n ** e / sum(n ** e) OVER () AS weight FROM s, e),
+r AS (SELECT source, n, weight, max(n / weight) OVER () * weight / n + 1e-9 AS epochs FROM w),
+p AS (SELECT source, weight, floor(epochs)::BIGINT AS epochs, (epochs - floor(epochs)) * n AS wanted FROM r),
+b AS (
+  SELECT d.source, d.block, sum(d.n) AS n, any_value(p.wanted) AS wanted,
+         ('0x' || substr(md5(concat_ws(':', '1', d.source, d.block, any_value(p.epochs))), 1, 8))::BIGINT * {mixing.BLOCKS} + d.block AS spot
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source GROUP BY d.source, d.block),
+c AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY spot) AS run FROM b),
+k AS (SELECT *, run <= wanted AS fits, run > wanted AND run - n <= wanted AS edge, wanted - run + n AS spare FROM c),
+x AS (
+  SELECT d.*, p.weight, p.epochs, k.fits, k.edge, k.spare,
+         sum(CASE WHEN k.edge THEN d.n ELSE 0 END) OVER (PARTITION BY d.source, d.block ORDER BY d.v) AS run
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.block = k.block)
+SELECT doc_id, source, unnest(range(epochs + CASE WHEN fits OR (edge AND run <= spare) THEN 1 ELSE 0 END)) AS epoch, block, round(weight, 9) AS weight FROM x
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -77,11 +116,13 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op4_warc": op4_warc,
         "op5_document_fingerprints": op5_document_fingerprints,
+        "op6_html_extraction": op6_html_extraction,
         "op7_language_id": op7_language_id,
+        "op8_mixing": op8_mixing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op8_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL}
