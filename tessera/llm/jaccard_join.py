@@ -37,7 +37,7 @@ from tessera.llm.shared import NON_SPACE, materialize, mix, text_buffer, token_h
 
 #: Link if DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
-SUPPORT_TOKENS, REGION, PACK_TOKENS, BROADCAST_ROWS = 4_000_000, 512, 3_000_000, 1_000_000
+REGIONS, SUPPORT_TOKENS, REGION, PACK_TOKENS, BROADCAST_ROWS = 64, 4_000_000, 512, 3_000_000, 1_000_000
 #: A shingle is frequent if it is in this share of the texts; at most (mean set size) / FREQUENT are.
 FREQUENT = 1 / 1000
 _SALT = np.uint64(0x2545F4914F6CDD1D)
@@ -113,10 +113,10 @@ def _named(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 def _supported(docs: DataFrame, text_col: str, k: int, tokens: int, texts: int) -> tuple[DataFrame, DataFrame]:
     """(entity, support): how many of a set's shingles another set has as well; (region, shingle, n): the frequent ones, truncated.
 
-    A region of the hash space gets, from each batch, 24 bits of every shingle that falls in it.
+    A region of the hash space gets, from each batch, 24 bits of every shingle that falls in it. The
+    number of regions follows the shingles alone, so a region's work is the same at any size.
     """
-    spark = docs.sparkSession
-    regions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // SUPPORT_TOKENS))
+    regions = max(REGIONS, -(-tokens // SUPPORT_TOKENS))
     often = max(64, int(texts * FREQUENT))
 
     def deal(batches):
