@@ -9,8 +9,12 @@ from tessera.llm.shared import materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """u, v, m: every edge with the least of u and its neighbours."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    """u, v, m: every edge with the least of u and its neighbours.
+
+    The least ones are combined in each task and written, so the join has two plain sides and Spark
+    can split a node that has very many edges.
+    """
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "least")
     return edges.join(least, "u")
 
 
