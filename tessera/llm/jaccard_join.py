@@ -37,7 +37,7 @@ from tessera.llm.shared import NON_SPACE, materialize, mix, text_buffer, token_h
 
 #: Link if DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
-REGIONS, SUPPORT_TOKENS, REGION, PACK_TOKENS, BROADCAST_ROWS = 64, 4_000_000, 512, 3_000_000, 1_000_000
+REGIONS, SUPPORT_TOKENS, REGION, PACK_TOKENS, BROADCAST_ROWS = 64, 4_000_000, 512, 1_500_000, 1_000_000
 #: A shingle is frequent if it is in this share of the texts; at most (mean set size) / FREQUENT are.
 FREQUENT = 1 / 1000
 _SALT = np.uint64(0x2545F4914F6CDD1D)
