@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import LETTERS, mix, text_buffer, token_hashes
 
 #: Bounds of the training sample.
-TOXIC_ROWS, CLEAN_ROWS = 2500, 5000
+TOXIC_ROWS, CLEAN_ROWS, PART_ROWS = 2500, 5000, 250
 PREFIXES, SELECTED, GROUPS, MIN_ROWS = (4, 5, 6), 20_000, 6, 4
 BITS = 20
 
@@ -85,18 +85,33 @@ def seed_terms() -> np.ndarray:
     return np.unique(features(pa.array(SEED))[0][: len(SEED)])
 
 
-def _select(pairs: np.ndarray, kinds: np.ndarray, toxic: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terms in texts, ranked by how far their share in toxic texts exceeds that in clean ones: hash, kind, lift."""
-    hashes, owner = pairs["h"], pairs["d"]
+def _distinct(texts: list[str]):
+    """For parts of the texts: hashes, kinds and owners of each text's distinct terms, and its numbers of words."""
+    for lo in range(0, len(texts), PART_ROWS):
+        hashes, kinds, owner, words = features(pa.array(texts[lo : lo + PART_ROWS]))
+        order = np.lexsort((hashes, owner))
+        hashes, kinds, owner = hashes[order], kinds[order], owner[order]
+        fresh = np.ones(len(hashes), bool)
+        fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+        yield hashes[fresh], kinds[fresh], owner[fresh] + lo, words
+
+
+def _frequent(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms in at least MIN_ROWS of the texts, and their kinds."""
+    parts = [(h, k) for h, k, _, _ in _distinct(texts)]
+    hashes, kinds = np.concatenate([h for h, _ in parts]), np.concatenate([k for _, k in parts])
     term, at, n = np.unique(hashes, return_index=True, return_counts=True)
-    n1 = np.bincount(np.searchsorted(term, hashes), toxic[owner].astype(float), minlength=len(term))
-    n0 = n - n1
-    t1, t0 = max(1, toxic.sum()), max(1, (~toxic).sum())
-    lift = np.log((n1 + 0.5) / (t1 + 1)) - np.log((n0 + 0.5) / (t0 + 1))
+    return term[n >= MIN_ROWS], kinds[at[n >= MIN_ROWS]]
+
+
+def _select(text: np.ndarray, term: np.ndarray, terms: int, toxic: np.ndarray) -> np.ndarray:
+    """Numbers of the terms whose share in toxic texts far exceeds that in clean ones, at most SELECTED."""
+    n1 = np.bincount(term, toxic[text].astype(float), minlength=terms)
+    n0 = np.bincount(term, minlength=terms) - n1
+    lift = np.log((n1 + 0.5) / (toxic.sum() + 1)) - np.log((n0 + 0.5) / ((~toxic).sum() + 1))
     sure = lift / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
     good = np.flatnonzero((n1 >= MIN_ROWS) & (lift > 2.5) & (sure > 2.5))
-    good = good[np.argsort(-sure[good], kind="stable")][:SELECTED]
-    return term[good], kinds[at[good]], lift[good]
+    return good[np.argsort(-sure[good], kind="stable")][:SELECTED]
 
 
 def votes(text: np.ndarray, voter_of: np.ndarray, term: np.ndarray, texts: int, voters: int, words: np.ndarray, shouting: np.ndarray) -> np.ndarray:
@@ -146,18 +161,21 @@ def train(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     seeds = seed_terms()
     if not len(texts) or toxic.all() or not toxic.any():
         return Model.of(seeds, np.full(len(seeds), 6.0), -3.0)
-    hashes, kinds, owner, words = features(pa.array(texts))
-    order = np.lexsort((hashes, owner))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (np.diff(hashes[order]) != 0) | (np.diff(owner[order]) != 0)
-    own = order[fresh]
-    term, kind, _ = _select({"h": hashes[own], "d": owner[own]}, kinds[own], toxic, len(texts))
-    new = ~np.isin(seeds, term)
-    term, kind = np.concatenate([term, seeds[new]]), np.concatenate([kind, np.zeros(new.sum(), np.int8)])
+    # Terms of a few toxic texts or more, then where all texts have them; both in parts, so memory is bounded.
+    known, kinds = _frequent([x for x, t in zip(texts, toxic, strict=True) if t])
+    new = ~np.isin(seeds, known)
+    known, kinds = np.concatenate([known, seeds[new]]), np.concatenate([kinds, np.zeros(new.sum(), np.int8)])
+    every = Model.of(known, kinds.astype(float), 0)
+    found = [(*every.found(h, o), w) for h, _, o, w in _distinct(texts)]
+    text, at, words = (np.concatenate([f[i] for f in found]) for i in range(3))
+    chosen = np.union1d(_select(text, at, len(known), toxic), np.flatnonzero(np.isin(every.terms, seeds)))
+    term, kind = every.terms[chosen], every.weights[chosen].astype(np.int64)
     # Voters: the seed list, and the found terms of each kind in GROUPS random groups.
     voter = np.where(np.isin(term, seeds), 0, 1 + kind * GROUPS + (mix(term) % np.uint64(GROUPS)).astype(np.int64))
     model = Model.of(term, voter.astype(float), 0)
-    text, at = model.found(hashes[own], owner[own])
+    spot = np.full(len(known), -1)
+    spot[chosen] = np.arange(len(chosen))
+    text, at = text[spot[at] >= 0], spot[at][spot[at] >= 0]
     upper = np.array([sum(c.isupper() for c in x) / max(1, sum(c.isalpha() for c in x)) for x in texts])
     table = votes(text, model.weights.astype(np.int64), at, len(texts), 1 + (1 + len(PREFIXES)) * GROUPS, words, upper)
     post, _ = label_model(table, 0)
