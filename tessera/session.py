@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, name: str = "tessera", **conf: str) -> SparkSession:
@@ -20,3 +23,18 @@ def session(master: str | None = None, name: str = "tessera", **conf: str) -> Sp
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """Cuts the lineage of a table that several branches read: writes it to the shared folder and reads it back.
+
+    The folder is the cluster's spark.checkpoint.dir; a temporary one where none is set, as in tests.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
