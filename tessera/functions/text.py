@@ -6,7 +6,7 @@ import sys
 import unicodedata
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import patterns as P
@@ -35,6 +35,11 @@ def view_map() -> tuple[str, str]:
     return "".join(pairs), "".join(pairs.values())
 
 
+def kept(rows: DataFrame, condition: Column) -> DataFrame:
+    """A filter on columns that are dear to compute. Catalyst would put a plain one below them, with their expressions in it, and compute them twice."""
+    return rows.withColumn("_kept", F.explode(F.when(condition, F.array(F.lit(1))))).drop("_kept")
+
+
 def matching_view(text: Column) -> Column:
     """Accents and case folded, dashes and ordinal signs made plain; as long as the text, so spans carry over."""
     source, target = view_map()

@@ -34,7 +34,10 @@ def explicit_candidates(view: Column, pattern: str, kind: str, explicit: str, pr
 def vague_candidates(view: Column) -> Column:
     """Phrases without a number that name a class or court, a year and a reporter."""
     heads = F.array_union(T.find_spans(view, P.flagged(P.VAGUE_HEAD)), T.find_spans(view, P.flagged(P.DESCRIBED_CASE)))
-    spans = F.transform(F.array_sort(F.array_distinct(F.transform(heads, lambda s: s["start"]))), lambda at: F.struct(at.alias("start"), T.phrase_end(view, at).alias("end")))
+    starts = F.array_sort(F.array_distinct(F.transform(heads, lambda s: s["start"])))
+    # What the phrase must have, the window it is cut from has too: few starts are left for the search for an end.
+    able = F.filter(starts, lambda at: T.names_a_case(F.substring(view, at + 1, F.lit(P.PHRASE_LIMIT))))
+    spans = F.transform(able, lambda at: F.struct(at.alias("start"), T.phrase_end(view, at).alias("end")))
     whole = F.filter(spans, lambda s: s["end"].isNotNull() & T.names_a_case(T.part(view, s["start"], s["end"])))
     return F.transform(whole, lambda s: candidate(s, "jurisprudencia", "incomplete", 70))
 
@@ -92,8 +95,8 @@ def extract(docs: DataFrame, id_col: str = "documento_id", text_col: str = "text
     text, view = F.col("texto"), F.col("view")
     rows = docs.select(F.col(id_col).alias("documento_id"), F.col(text_col).alias("texto")).filter("texto IS NOT NULL").withColumn("view", T.matching_view(text))
     found = [explicit_candidates(view, *g) for g in GRAMMAR] + [vague_candidates(view)] + ([template_candidates(text, view)] if templates else [])
-    rows = rows.withColumn("items", F.concat(*[x.cast(f"array<{CANDIDATE}>") for x in found])).filter(F.size("items") > 0)
-    rows = rows.withColumn("body", T.body_start(text, view))
+    rows = rows.withColumn("items", F.concat(*[x.cast(f"array<{CANDIDATE}>") for x in found]))
+    rows = T.kept(rows, F.size("items") > 0).withColumn("body", T.body_start(text, view))
     kept = F.filter("items", lambda x: (x["start"] >= F.col("body")) & ~is_distractor(view, x))
     rows = rows.withColumn("kept", kept).withColumn("item", F.explode(arbitrate(F.col("kept"))))
     return rows.select("documento_id", "item.start", "item.end", "item.kind", "item.explicit_type", T.part(text, F.col("item.start"), F.col("item.end")).alias("literal"))

@@ -30,7 +30,7 @@ def number_hits(canonical: DataFrame) -> DataFrame:
     key = F.regexp_replace(T.part(F.col("head"), start, end), r"(?U)\D", "")
     near = T.part(F.col("head"), F.greatest(start - P.NUMBER_BEFORE, F.lit(0)), end + P.NUMBER_AFTER)
     keyed = tokens.select("id", "tribunal", "year", "reporter", start.alias("position"), key.alias("key"), T.matching_view(near).alias("near")).filter(F.char_length("key") >= 3)
-    return keyed.withColumn("families", T.families(F.col("near"), F.col("tribunal"))).filter(F.size("families") > 0).drop("near")
+    return T.kept(keyed.withColumn("families", T.families(F.col("near"), F.col("tribunal"))), F.size("families") > 0).drop("near")
 
 
 def number_index(canonical: DataFrame) -> DataFrame:
