@@ -143,9 +143,9 @@ def surviving(docs: DataFrame, in_snapshot: Column, id_col: str = "doc_id", text
     decided = materialize(exact_dedup(docs, in_snapshot, id_col, text_col), "decided")
     repeats = decided.filter((~F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
     goes = decided.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "digest").distinct()
-    marked = docs.withColumn("_digest", sha256(F.coalesce(F.col(text_col), F.lit(""))))
-    gone = goes.withColumnsRenamed({"doc_id": "_id", "digest": "_gone"})
-    stays = marked.join(gone, (marked["_digest"] == gone["_gone"]) & marked[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    marked = docs.withColumn("__tessera_digest", sha256(F.coalesce(F.col(text_col), F.lit(""))))
+    gone = goes.withColumnsRenamed({"doc_id": "__tessera_id", "digest": "__tessera_gone"})
+    stays = marked.join(gone, (marked["__tessera_digest"] == gone["__tessera_gone"]) & marked[id_col].eqNullSafe(gone["__tessera_id"]), "left_anti")
     if not repeats.isEmpty():
-        stays = stays.dropDuplicates([id_col, "_digest"])
+        stays = stays.dropDuplicates([id_col, "__tessera_digest"])
     return stays.select(docs.columns)

@@ -110,8 +110,8 @@ def _named(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(name, f"doc_id {dict(docs.dtypes)[id_col]}, n_shingles long, entity long")
 
 
-def _supported(docs: DataFrame, text_col: str, k: int, tokens: int, texts: int) -> tuple[DataFrame, DataFrame]:
-    """(entity, support): how many of a set's shingles another set has as well; (region, shingle, n): the frequent ones, truncated.
+def _supported(docs: DataFrame, text_col: str, k: int, tokens: int, texts: int) -> tuple[DataFrame, DataFrame, int]:
+    """(entity, support): how many of a set's shingles another set has as well; (frequent): the very frequent ones, truncated; and the number of regions.
 
     A region of the hash space gets, from each batch, 24 bits of every shingle that falls in it. The
     number of regions follows the shingles alone, so a region's work is the same at any size.
@@ -319,9 +319,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         able = classes.join(support, "entity").filter(F.col("support") >= F.ceil(F.col("n") * NUM / DEN)).select("entity", "least")
         able = materialize(able, "able")
         hot = np.array(sorted(r[0] for r in frequent.collect()), np.int64)
-        chosen = named.select("doc_id", "entity").join(able, "entity").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("_able")).distinct()
+        chosen = named.select("doc_id", "entity").join(able, "entity").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("__tessera_able")).distinct()
         small = able.count() <= BROADCAST_ROWS
-        picked = docs.join(F.broadcast(chosen) if small else chosen, docs[id_col].eqNullSafe(chosen["_able"]), "left_semi")
+        picked = docs.join(F.broadcast(chosen) if small else chosen, docs[id_col].eqNullSafe(chosen["__tessera_able"]), "left_semi")
         sets = materialize(_sets(picked, id_col, text_col, k, hot, regions).dropDuplicates(["entity"]), "sets")
         linked = components(_links(sets))
         # From the least entity of a component to the least document.
@@ -337,9 +337,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """The rows of `docs` whose id is the least of their component, with all their columns; rows without shingles stay.
 
-    Rows that repeat that id are all kept: a repeated row is for exact dedup. One shuffle of the texts
-    at most.
+    Rows of one id are kept or dropped together, and kept if any of them is the least: repeated rows
+    are for exact dedup. One shuffle of the texts at most.
     """
     found = jaccard_components(docs, id_col, text_col, k)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    least = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = found.groupBy("doc_id").agg(least.alias("least")).filter("NOT least").select(F.col("doc_id").alias("__tessera_gone"))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__tessera_gone"]), "left_anti")

@@ -100,19 +100,16 @@ def mix(docs: DataFrame, max_repeats: float | None = 1.5, entropy: float | None
 
     Without a budget every row occurs at least once. A null source is a source; a source without any
     token has weight 0 and one epoch. Rows of one id are in one block and are taken together. No rows
-    give no rows. Existing columns keep their names; a column that is called as one of the new ones
-    makes an error.
+    give no rows. Columns that are already called as the new ones are replaced.
     """
+    docs = docs.drop("mix_weight", "mix_epoch", "mix_block")
     told = plan(docs, id_col, text_col, source_col, max_repeats, entropy, budget, seed)
-    clash = {"mix_weight", "mix_epoch", "mix_block"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
-    plans = told.select(*[F.col(c).alias(f"_mix_{c}") for c in told.columns])
-    both = docs.join(plans, docs[source_col].eqNullSafe(plans["_mix_source"]))
+    plans = told.select(*[F.col(c).alias(f"__mix_{c}") for c in told.columns])
+    both = docs.join(plans, docs[source_col].eqNullSafe(plans["__mix_source"]))
     block = F.pmod(_hash(1, 8, seed, F.col(id_col)), F.lit(BLOCKS))
     both = both.withColumn("mix_block", block)
-    spot = _hash(1, 8, seed, F.col("_mix_source"), F.col("mix_block"), F.col("_mix_epochs")) * BLOCKS + F.col("mix_block")
-    more = (spot <= F.col("_mix_cut")) | ((F.col("mix_block") == F.col("_mix_last_block")) & (_hash(9, 12, seed, F.col(id_col)) <= F.col("_mix_last_cut")))
-    copies = F.col("_mix_epochs") + F.when(more, 1).otherwise(0)
-    rows = both.withColumn("mix_copies", copies).filter("mix_copies > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1)))
-    return rows.select(*docs.columns, F.col("_mix_weight").alias("mix_weight"), "mix_epoch", "mix_block")
+    spot = _hash(1, 8, seed, F.col("__mix_source"), F.col("mix_block"), F.col("__mix_epochs")) * BLOCKS + F.col("mix_block")
+    more = (spot <= F.col("__mix_cut")) | ((F.col("mix_block") == F.col("__mix_last_block")) & (_hash(9, 12, seed, F.col(id_col)) <= F.col("__mix_last_cut")))
+    copies = F.col("__mix_epochs") + F.when(more, 1).otherwise(0)
+    rows = both.withColumn("__mix_copies", copies).filter("__mix_copies > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__mix_copies") - 1)))
+    return rows.select(*docs.columns, F.col("__mix_weight").alias("mix_weight"), "mix_epoch", "mix_block")

@@ -102,14 +102,15 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, id_col
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """Martello-Toth reduction: bins that some best solution contains, and the lengths left.
 
-    For the longest piece j, with room r beside it: alone, if nothing fits; with k, the longest that
-    fits, if k fills r, or no two more fit together, or no feasible pair a, b exceeds k in sum; with
-    a and b, if they fill r and the shorter pieces b+1.. can't do as well (a <= b + 1 here, where the
-    pair is dominated by no other). Otherwise j is left for best fit.
+    For a piece j with room r beside it, among all pieces that aren't fixed: j stands alone if nothing
+    fits; with k, the longest that fits, if k fills r, or no two more fit together, or at most two do
+    and no pair that fits is longer than k; with k and r - k if at most two fit and no length lies
+    between those two. Each of these sets dominates all others that j can be in. Pieces are tried
+    longest first, again until nothing changes.
     """
     left = {s: n for s, n in counts.items() if n > 0}
     sizes = sorted(left)
-    fixed, rest = [], {}
+    fixed = []
 
     def take(pattern: tuple[int, ...]) -> None:
         need = {s: pattern.count(s) for s in pattern}
@@ -119,46 +120,56 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[t
             left[s] -= k * times
             if not left[s]:
                 del left[s]
-                sizes.remove(s)
-
-    def available(s: int, used: int) -> bool:
-        return left.get(s, 0) - (s == used) > 0
-
-    while sizes:
-        j = sizes[-1]
+                sizes.pop(bisect_left(sizes, s))
+
+    def shortest(j: int, n: int) -> list[int]:
+        """The n shortest pieces beside one of length j."""
+        out: list[int] = []
+        for s in sizes:
+            out += [s] * min(n - len(out), left[s] - (s == j))
+            if len(out) == n:
+                break
+        return out
+
+    def dominating(j: int) -> tuple[int, ...] | None:
         room = capacity - j
         i = bisect_right(sizes, room) - 1
-        if i >= 0 and not available(sizes[i], j):
+        if i >= 0 and left[sizes[i]] == (sizes[i] == j):
             i -= 1
         if i < 0:
-            take((j,))
-            continue
+            return (j,)
         k = sizes[i]
-        two = [s for s in sizes[:2] for _ in range(min(2, left[s] - (s == j)))][:2]
+        two, three = shortest(j, 2), shortest(j, 3)
         if k == room or len(two) < 2 or sum(two) > room:
-            take((j, k))
-            continue
-        three = [s for s in sizes[:3] for _ in range(min(3, left[s] - (s == j)))][:3]
-        if len(three) < 3 or sum(three) > room:  # at most two more fit
-            best = (0, 0, 0)
-            for b in sizes:
-                if 2 * b > room or not available(b, j):
-                    break
-                p = bisect_right(sizes, room - b) - 1
-                while p >= 0 and left[sizes[p]] - (sizes[p] == j) - (sizes[p] == b) <= 0:
-                    p -= 1
-                if p >= 0 and sizes[p] >= b:
-                    best = max(best, (sizes[p] + b, b, sizes[p]))
-            total, b, a = best
-            if k >= total:
-                take((j, k))
-                continue
-            if total == room and a - b <= 1:
-                take((j, a, b))
+            return (j, k)
+        if len(three) == 3 and sum(three) <= room:
+            return None
+        best = 0
+        for b in sizes[: i + 1]:
+            if 2 * b > room:
+                break
+            if left[b] == (b == j):
                 continue
-        rest[j] = left.pop(j)
-        sizes.pop()
-    return fixed, rest
+            p = bisect_right(sizes, room - b) - 1
+            while p >= 0 and left[sizes[p]] - (sizes[p] == j) - (sizes[p] == b) <= 0:
+                p -= 1
+            if p >= 0:
+                best = max(best, sizes[p] + b)
+        if k >= best:
+            return (j, k)
+        b = room - k
+        if left.get(b, 0) - (b == j) - (b == k) > 0 and bisect_right(sizes, min(b, k)) >= bisect_left(sizes, max(b, k)):
+            return (j, k, b)
+        return None
+
+    changed = True
+    while changed:
+        changed = False
+        for j in sorted(left, reverse=True):
+            while j in left and (pattern := dominating(j)):
+                take(pattern)
+                changed = True
+    return fixed, left
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

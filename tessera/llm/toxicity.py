@@ -23,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.jaccard_join import shingle_sets
 from tessera.llm.shared import LETTERS, mix, text_buffer, token_hashes
 
 #: Bounds of the training sample.
 TOXIC_ROWS, CLEAN_ROWS, PART_ROWS = 2500, 5000, 250
-PREFIXES, SELECTED, GROUPS, MIN_ROWS = (4, 5, 6), 20_000, 6, 4
+PREFIXES, SELECTED, GROUPS, MIN_ROWS = (4, 5, 6, 7, 8), 20_000, 6, 4
+#: Log odds of one vote at most; least evidence (nats) and log ratio of a found term.
+CERTAIN, EVIDENCE, LIFT, SKETCH = 3.0, 14.0, 3.5, 12
 BITS = 20
 
 # Insults in four languages, the seed lexicon.
@@ -96,6 +99,32 @@ def _distinct(texts: list[str]):
         yield hashes[fresh], kinds[fresh], owner[fresh] + lo, words
 
 
+def _sketches(texts: list[str]):
+    for lo in range(0, len(texts), PART_ROWS):
+        flat, sizes = shingle_sets(pa.array(texts[lo : lo + PART_ROWS]), 3)
+        for n, end in zip(sizes.tolist(), np.cumsum(sizes).tolist(), strict=True):
+            yield flat[end - n : end][:SKETCH].tolist()
+
+
+def without_copies(texts: list[str]) -> np.ndarray:
+    """Numbers of the texts that don't share a third of their sketch, the SKETCH least hashes of three words, with an earlier one.
+
+    Copies of one toxic text would make all its words look toxic.
+    """
+    seen: dict[int, list[int]] = {}
+    keep = []
+    for i, sketch in enumerate(_sketches(texts)):
+        met: dict[int, int] = {}
+        for h in sketch:
+            for j in seen.get(h, ()):
+                met[j] = met.get(j, 0) + 1
+        if not met or 3 * max(met.values()) < len(sketch):
+            keep.append(i)
+            for h in sketch:
+                seen.setdefault(h, []).append(i)
+    return np.array(keep, np.int64)
+
+
 def _frequent(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Terms in at least MIN_ROWS of the texts, and their kinds."""
     parts = [(h, k) for h, k, _, _ in _distinct(texts)]
@@ -109,8 +138,10 @@ def _select(text: np.ndarray, term: np.ndarray, terms: int, toxic: np.ndarray) -
     n1 = np.bincount(term, toxic[text].astype(float), minlength=terms)
     n0 = np.bincount(term, minlength=terms) - n1
     lift = np.log((n1 + 0.5) / (toxic.sum() + 1)) - np.log((n0 + 0.5) / ((~toxic).sum() + 1))
-    sure = lift / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
-    good = np.flatnonzero((n1 >= MIN_ROWS) & (lift > 2.5) & (sure > 2.5))
+    share, n = toxic.mean(), np.maximum(n0 + n1, 1)
+    p = n1 / n  # a bound of the binomial tail: terms are many, and some lean to toxic texts by chance
+    sure = n1 * np.log(np.maximum(p, 1e-12) / share) + n0 * np.log(np.maximum(1 - p, 1e-12) / (1 - share))
+    good = np.flatnonzero((n1 >= MIN_ROWS) & (lift > LIFT) & (sure > EVIDENCE))
     return good[np.argsort(-sure[good], kind="stable")][:SELECTED]
 
 
@@ -126,33 +157,45 @@ def votes(text: np.ndarray, voter_of: np.ndarray, term: np.ndarray, texts: int,
     return out
 
 
+def _discounts(table: np.ndarray, post: np.ndarray | None) -> np.ndarray:
+    """1 / (1 + what a voter's votes have in common with the others'), beyond what the classes `post` explain."""
+    said = (table == 1).astype(float)
+    if post is None:
+        rest = said - said.mean(0)
+    else:
+        sure = post >= 0.5
+        means = [said[x].mean(0) if x.any() else np.zeros(said.shape[1]) for x in (sure, ~sure)]
+        rest = said - np.where(sure[:, None], means[0], means[1])
+    spread = np.sqrt((rest**2).mean(0))
+    corr = np.clip((rest.T @ rest) / len(rest) / (np.outer(spread, spread) + 1e-12), 0, 1)
+    corr[spread < 1e-6, :] = corr[:, spread < 1e-6] = 0
+    np.fill_diagonal(corr, 0)
+    return 1 / (1 + (corr**2).sum(1))
+
+
 def label_model(table: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of the toxic class, and each voter's discount for its correlations.
+    """Posterior of the toxic class, and each voter's discount for its correlations; no vote counts more than CERTAIN.
 
-    A voter's three outcomes have a distribution under either class. The start assumes that votes are
-    better than chance; labels are not used.
+    A voter's three outcomes have a distribution under either class. The start is the discounted share
+    of toxic votes, so it assumes that votes are better than chance; labels are not used. The first
+    pass discounts by all that voters share, the second by what the classes found then don't explain.
     """
     hot = np.stack([table == -1, table == 0, table == 1], 2).astype(float)
-    start = np.where((table == 1).any(1), 0.8, 0.1)
-    post, keep = start, np.ones(table.shape[1])
+    keep = _discounts(table, None)
+    cast = hot[:, :, 1:].sum(2) @ keep
+    post = np.where(cast > 0, np.clip((hot[:, :, 2] @ keep) / np.maximum(cast, 1e-9), 0.05, 0.95), 0.3)
     for again in range(2):
         for _ in range(rounds):
             both = np.stack([1 - post, post])
             rate = (np.einsum("cn,nvo->cvo", both, hot) + 0.5) / (both.sum(1)[:, None, None] + 1.5)
             share = min(max(post.mean(), 0.02), 0.98) if prior <= 0 else prior
-            gain = ((np.log(rate[1]) - np.log(rate[0])) * keep[:, None])[None] * hot
+            gain = (np.clip(np.log(rate[1]) - np.log(rate[0]), -CERTAIN, CERTAIN) * keep[:, None])[None] * hot
             fresh = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + gain.sum((1, 2)), -30, 30)))
             moved, post = np.abs(fresh - post).max(), fresh
             if moved < 1e-4:
                 break
-        if not again:  # correlations that the class doesn't explain
-            said = (table == 1).astype(float)
-            rest = said - np.where(post[:, None] >= 0.5, said[post >= 0.5].mean(0) if (post >= 0.5).any() else 0, said[post < 0.5].mean(0) if (post < 0.5).any() else 0)
-            spread = np.sqrt((rest**2).mean(0)) + 1e-9
-            corr = np.clip((rest.T @ rest) / len(rest) / np.outer(spread, spread), 0, 1)
-            np.fill_diagonal(corr, 0)
-            corr[(spread < 1e-6), :] = corr[:, spread < 1e-6] = 0
-            keep = 1 / (1 + corr.sum(1))
+        if not again:
+            keep = _discounts(table, post)
     return post, keep
 
 
@@ -161,6 +204,10 @@ def train(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     seeds = seed_terms()
     if not len(texts) or toxic.all() or not toxic.any():
         return Model.of(seeds, np.full(len(seeds), 6.0), -3.0)
+    own = without_copies(texts)
+    texts, toxic = [texts[i] for i in own], toxic[own]
+    if toxic.all() or not toxic.any():
+        return Model.of(seeds, np.full(len(seeds), 6.0), -3.0)
     # Terms of a few toxic texts or more, then where all texts have them; both in parts, so memory is bounded.
     known, kinds = _frequent([x for x, t in zip(texts, toxic, strict=True) if t])
     new = ~np.isin(seeds, known)
@@ -201,15 +248,15 @@ def fit(docs: DataFrame, labels: DataFrame, in_training: Column, id_col: str = "
 
     Rows with a null text or label teach nothing. An id with several texts or labels counts for each.
     """
-    known = labels.filter(in_training & F.col("toxic").isNotNull()).select(F.col(id_col).alias("_id"), (F.col("toxic") == 1).alias("_toxic"))
-    total = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
-    picks = [known.filter(F.col("_toxic") == kind).orderBy(F.xxhash64("_id"), "_id").limit(rows) for kind, rows in ((True, TOXIC_ROWS), (False, CLEAN_ROWS))]
+    known = labels.filter(in_training & F.col("toxic").isNotNull()).select(F.col(id_col).alias("__tessera_id"), (F.col("toxic") == 1).alias("__tessera_toxic"))
+    total = {r["__tessera_toxic"]: r["count"] for r in known.groupBy("__tessera_toxic").count().collect()}
+    picks = [known.filter(F.col("__tessera_toxic") == kind).orderBy(F.xxhash64("__tessera_id"), "__tessera_id").limit(rows) for kind, rows in ((True, TOXIC_ROWS), (False, CLEAN_ROWS))]
     chosen = picks[0].unionByName(picks[1])
-    rows = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), "_toxic").limit(2 * (TOXIC_ROWS + CLEAN_ROWS)).toArrow()
+    rows = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("__tessera_id")).select(F.col(text_col).alias("text"), "__tessera_toxic").limit(2 * (TOXIC_ROWS + CLEAN_ROWS)).toArrow()
     prior = total.get(True, 0) / max(1, sum(total.values()))
     order = np.argsort(np.array([hash_text(x) for x in rows.column("text").to_pylist()], np.uint64), kind="stable")
     texts = [rows.column("text")[int(i)].as_py() for i in order]
-    return train(texts, np.array(rows.column("_toxic").to_pylist(), bool)[order] if len(order) else np.empty(0, bool), prior)
+    return train(texts, np.array(rows.column("__tessera_toxic").to_pylist(), bool)[order] if len(order) else np.empty(0, bool), prior)
 
 
 def hash_text(text: str) -> int:
