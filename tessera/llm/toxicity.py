@@ -27,7 +27,7 @@ from tessera.llm.jaccard_join import shingle_sets
 from tessera.llm.shared import LETTERS, mix, text_buffer, token_hashes
 
 #: Bounds of the training sample.
-TOXIC_ROWS, CLEAN_ROWS, PART_ROWS = 2500, 5000, 250
+TOXIC_ROWS, CLEAN_ROWS, PART_ROWS = 2000, 4000, 50
 PREFIXES, SELECTED, GROUPS, MIN_ROWS = (4, 5, 6, 7, 8), 20_000, 6, 4
 #: Log odds of one vote at most; least evidence (nats) and log ratio of a found term.
 CERTAIN, EVIDENCE, LIFT, SKETCH = 3.0, 14.0, 3.5, 12
@@ -126,17 +126,19 @@ def without_copies(texts: list[str]) -> np.ndarray:
 
 
 def _frequent(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Terms in at least MIN_ROWS of the texts, and their kinds."""
+    """Terms in at least MIN_ROWS of the texts, and their kinds; one kind at a time."""
     parts = [(h, k) for h, k, _, _ in _distinct(texts)]
-    hashes, kinds = np.concatenate([h for h, _ in parts]), np.concatenate([k for _, k in parts])
-    term, at, n = np.unique(hashes, return_index=True, return_counts=True)
-    return term[n >= MIN_ROWS], kinds[at[n >= MIN_ROWS]]
+    terms, kinds = [], []
+    for kind in range(1 + len(PREFIXES)):
+        term, n = np.unique(np.concatenate([h[k == kind] for h, k in parts]), return_counts=True)
+        terms.append(term[n >= MIN_ROWS])
+        kinds.append(np.full(len(terms[-1]), kind, np.int8))
+    term, at = np.unique(np.concatenate(terms), return_index=True)
+    return term, np.concatenate(kinds)[at]
 
 
-def _select(text: np.ndarray, term: np.ndarray, terms: int, toxic: np.ndarray) -> np.ndarray:
-    """Numbers of the terms whose share in toxic texts far exceeds that in clean ones, at most SELECTED."""
-    n1 = np.bincount(term, toxic[text].astype(float), minlength=terms)
-    n0 = np.bincount(term, minlength=terms) - n1
+def _select(n1: np.ndarray, n0: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Numbers of the terms whose share in toxic texts far exceeds that in clean ones, at most SELECTED; n1, n0: texts of either kind with a term."""
     lift = np.log((n1 + 0.5) / (toxic.sum() + 1)) - np.log((n0 + 0.5) / ((~toxic).sum() + 1))
     share, n = toxic.mean(), np.maximum(n0 + n1, 1)
     p = n1 / n  # a bound of the binomial tail: terms are many, and some lean to toxic texts by chance
@@ -208,21 +210,23 @@ def train(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     texts, toxic = [texts[i] for i in own], toxic[own]
     if toxic.all() or not toxic.any():
         return Model.of(seeds, np.full(len(seeds), 6.0), -3.0)
-    # Terms of a few toxic texts or more, then where all texts have them; both in parts, so memory is bounded.
+    # Terms of a few toxic texts or more, then how many texts of either kind have them, then where the chosen ones are: in parts.
     known, kinds = _frequent([x for x, t in zip(texts, toxic, strict=True) if t])
     new = ~np.isin(seeds, known)
     known, kinds = np.concatenate([known, seeds[new]]), np.concatenate([kinds, np.zeros(new.sum(), np.int8)])
     every = Model.of(known, kinds.astype(float), 0)
-    found = [(*every.found(h, o), w) for h, _, o, w in _distinct(texts)]
-    text, at, words = (np.concatenate([f[i] for f in found]) for i in range(3))
-    chosen = np.union1d(_select(text, at, len(known), toxic), np.flatnonzero(np.isin(every.terms, seeds)))
+    seen = np.zeros((2, len(known)))
+    for hashes, _, owner, _ in _distinct(texts):
+        text, at = every.found(hashes, owner)
+        for kind in (0, 1):
+            seen[kind] += np.bincount(at[toxic[text] == kind], minlength=len(known))
+    chosen = np.union1d(_select(seen[1], seen[0], toxic), np.flatnonzero(np.isin(every.terms, seeds)))
     term, kind = every.terms[chosen], every.weights[chosen].astype(np.int64)
     # Voters: the seed list, and the found terms of each kind in GROUPS random groups.
     voter = np.where(np.isin(term, seeds), 0, 1 + kind * GROUPS + (mix(term) % np.uint64(GROUPS)).astype(np.int64))
     model = Model.of(term, voter.astype(float), 0)
-    spot = np.full(len(known), -1)
-    spot[chosen] = np.arange(len(chosen))
-    text, at = text[spot[at] >= 0], spot[at][spot[at] >= 0]
+    found = [(*model.found(h, o), w) for h, _, o, w in _distinct(texts)]
+    text, at, words = (np.concatenate([f[i] for f in found]) for i in range(3))
     upper = np.array([sum(c.isupper() for c in x) / max(1, sum(c.isalpha() for c in x)) for x in texts])
     table = votes(text, model.weights.astype(np.int64), at, len(texts), 1 + (1 + len(PREFIXES)) * GROUPS, words, upper)
     post, _ = label_model(table, 0)
@@ -254,9 +258,10 @@ def fit(docs: DataFrame, labels: DataFrame, in_training: Column, id_col: str = "
     chosen = picks[0].unionByName(picks[1])
     rows = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("__tessera_id")).select(F.col(text_col).alias("text"), "__tessera_toxic").limit(2 * (TOXIC_ROWS + CLEAN_ROWS)).toArrow()
     prior = total.get(True, 0) / max(1, sum(total.values()))
-    order = np.argsort(np.array([hash_text(x) for x in rows.column("text").to_pylist()], np.uint64), kind="stable")
-    texts = [rows.column("text")[int(i)].as_py() for i in order]
-    return train(texts, np.array(rows.column("__tessera_toxic").to_pylist(), bool)[order] if len(order) else np.empty(0, bool), prior)
+    texts, toxic = rows.column("text").to_pylist(), np.array(rows.column("__tessera_toxic").to_pylist(), bool)
+    del rows
+    order = np.argsort(np.array([hash_text(x) for x in texts], np.uint64), kind="stable")
+    return train([texts[i] for i in order], toxic[order], prior)
 
 
 def hash_text(text: str) -> int:
