@@ -56,9 +56,8 @@ def submission(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("documento_id", F.coalesce("citacoes", F.lit("")).alias("citacoes")) if {"documento_id", "citacoes"} <= set(rows.columns) else rows
 
 
-CONTRACT = T.StructType.fromDDL(
-    "schema_version string, documento_id string, citacoes array<struct<citacao_id string, inicio int, fim int, trecho string, tipo string, classificacao string, resolucao struct<id_canonico string>, confianca double>>"
-)
+CITATIONS = "array<struct<citacao_id:string,inicio:int,fim:int,trecho:string,tipo:string,classificacao:string,resolucao:struct<id_canonico:string>,confianca:double>>"
+CONTRACT = f"schema_version string, documento_id string, citacoes {CITATIONS}"
 
 
 def contract_json(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,7 +70,7 @@ def contract_cells(docs: DataFrame) -> DataFrame:
     """documento_id, citacoes (a cell; - without citations) of contract documents, in their own order."""
     field = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("-"))
     block = lambda c: F.concat_ws(",", c["inicio"].cast("string"), c["fim"].cast("string"), c["classificacao"], field(c["resolucao"]["id_canonico"]), F.when(c["confianca"].isNull(), F.lit("-")).otherwise(F.format_string("%.4f", c["confianca"])))
-    cell = F.array_join(F.transform(F.coalesce("citacoes", F.array().cast(CONTRACT["citacoes"].dataType)), block), "|")
+    cell = F.array_join(F.transform(F.coalesce("citacoes", F.array().cast(CITATIONS)), block), "|")
     return docs.select("documento_id", F.coalesce(F.nullif(cell, F.lit("")), F.lit("-")).alias("citacoes"))
 
 
@@ -144,5 +143,5 @@ def canonical(spark: SparkSession, path: str, table: str = "documentos") -> Data
     if path.endswith((".db", ".sqlite", ".sqlite3")):
         spark.dataSource.register(SqliteSource)
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-        return spark.read.format("tessera_sqlite").option("path", path).option("dbtable", table).load(path)
+        return spark.read.format("tessera_sqlite").option("dbtable", table).load(path)
     return spark.read.parquet(path)
