@@ -98,7 +98,7 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def _cuts(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray):
+def ranges(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray):
     """Ranges of at most about CHUNK bytes that end between documents or, in a long one, between words."""
     lo, end = 0, int(offsets[-1])
     while lo < end:
@@ -127,7 +127,7 @@ def token_hashes(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray, lower:
     """
     starts_all, out, heads = [], [], [[] for _ in prefixes]
     inner = offsets[1:-1]
-    for lo, hi in _cuts(raw, offsets, word):
+    for lo, hi in ranges(raw, offsets, word):
         seg = raw[lo:hi]
         is_word = word[seg]
         edge = np.zeros(hi - lo + 1, bool)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.jaccard_join import shingle_sets
-from tessera.llm.shared import LETTERS, mix, text_buffer, token_hashes
+from tessera.llm.shared import LETTERS, mix, ranges, text_buffer, token_hashes
 
 #: Bounds of the training sample.
 TOXIC_ROWS, CLEAN_ROWS, PART_ROWS = 2000, 4000, 50
@@ -44,7 +44,10 @@ SEED = [
 
 def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashed words and word beginnings of each text: hashes, kinds (0 words, then PREFIXES), owners, and words a text."""
-    raw, offsets = text_buffer(column)
+    return features_of(*text_buffer(column))
+
+
+def features_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     words, counts, heads = token_hashes(raw, offsets, LETTERS, prefixes=PREFIXES)
     owner = np.repeat(np.arange(len(counts)), counts)
     every = np.concatenate([words, *heads])
@@ -78,9 +81,16 @@ class Model:
         return pair // len(self.terms), pair % len(self.terms)
 
     def scores(self, column) -> np.ndarray:
-        hashes, _, owner, counts = features(column)
-        text, term = self.found(hashes, owner)
-        logit = self.bias + np.bincount(text, self.weights[term], minlength=len(counts))
+        """Works on ranges of about a megabyte, which may end between words of a long text."""
+        raw, offsets = text_buffer(column)
+        pairs = [np.empty(0, np.int64)]
+        for lo, hi in ranges(raw, offsets, LETTERS):
+            first, last = int(np.searchsorted(offsets, lo, "right")) - 1, int(np.searchsorted(offsets, hi, "left"))
+            hashes, _, owner, _ = features_of(raw[lo:hi], np.clip(offsets[first : last + 1], lo, hi) - lo)
+            text, term = self.found(hashes, owner + first)
+            pairs.append(text * len(self.terms) + term)
+        pair = np.unique(np.concatenate(pairs))
+        logit = self.bias + np.bincount(pair // max(1, len(self.terms)), self.weights[pair % max(1, len(self.terms))], minlength=len(offsets) - 1)
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
@@ -88,15 +98,21 @@ def seed_terms() -> np.ndarray:
     return np.unique(features(pa.array(SEED))[0][: len(SEED)])
 
 
-def _distinct(texts: list[str]):
-    """For parts of the texts: hashes, kinds and owners of each text's distinct terms, and its numbers of words."""
+def _terms(texts: list[str]):
+    """For parts of the texts: hashes, kinds and owners of each text's terms, and its numbers of words."""
     for lo in range(0, len(texts), PART_ROWS):
-        hashes, kinds, owner, words = features(pa.array(texts[lo : lo + PART_ROWS]))
+        hashes, kinds, owner, words = features(pa.array(texts[lo : lo + PART_ROWS], pa.string()))
+        yield hashes, kinds, owner + lo, words
+
+
+def _distinct(texts: list[str]):
+    """_terms without a text's repeats, which in sorted order follow each other."""
+    for hashes, kinds, owner, words in _terms(texts):
         order = np.lexsort((hashes, owner))
         hashes, kinds, owner = hashes[order], kinds[order], owner[order]
         fresh = np.ones(len(hashes), bool)
         fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-        yield hashes[fresh], kinds[fresh], owner[fresh] + lo, words
+        yield hashes[fresh], kinds[fresh], owner[fresh], words
 
 
 def _sketches(texts: list[str]):
@@ -147,6 +163,14 @@ def _select(n1: np.ndarray, n0: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return good[np.argsort(-sure[good], kind="stable")][:SELECTED]
 
 
+def shouted(texts: list[str]) -> np.ndarray:
+    """The share of A-Z among each text's ASCII letters."""
+    raw, offsets = text_buffer(pa.array(texts, pa.string()))
+    plain = LETTERS[raw] & (raw < 128)
+    count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets])
+    return count(plain & (raw <= 90)) / np.maximum(1, count(plain))
+
+
 def votes(text: np.ndarray, voter_of: np.ndarray, term: np.ndarray, texts: int, voters: int, words: np.ndarray, shouting: np.ndarray) -> np.ndarray:
     """Texts by voters: 1 toxic, 0 clean, -1 no vote."""
     out = np.full((texts, voters + 4), -1, np.int8)
@@ -216,7 +240,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     known, kinds = np.concatenate([known, seeds[new]]), np.concatenate([kinds, np.zeros(new.sum(), np.int8)])
     every = Model.of(known, kinds.astype(float), 0)
     seen = np.zeros((2, len(known)))
-    for hashes, _, owner, _ in _distinct(texts):
+    for hashes, _, owner, _ in _terms(texts):
         text, at = every.found(hashes, owner)
         for kind in (0, 1):
             seen[kind] += np.bincount(at[toxic[text] == kind], minlength=len(known))
@@ -225,9 +249,9 @@ def train(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     # Voters: the seed list, and the found terms of each kind in GROUPS random groups.
     voter = np.where(np.isin(term, seeds), 0, 1 + kind * GROUPS + (mix(term) % np.uint64(GROUPS)).astype(np.int64))
     model = Model.of(term, voter.astype(float), 0)
-    found = [(*model.found(h, o), w) for h, _, o, w in _distinct(texts)]
+    found = [(*model.found(h, o), w) for h, _, o, w in _terms(texts)]
     text, at, words = (np.concatenate([f[i] for f in found]) for i in range(3))
-    upper = np.array([sum(c.isupper() for c in x) / max(1, sum(c.isalpha() for c in x)) for x in texts])
+    upper = np.concatenate([shouted(texts[i : i + PART_ROWS]) for i in range(0, len(texts), PART_ROWS)])
     table = votes(text, model.weights.astype(np.int64), at, len(texts), 1 + (1 + len(PREFIXES)) * GROUPS, words, upper)
     post, _ = label_model(table, 0)
     weights, bias = _regression(text, at, len(model.terms), post)
