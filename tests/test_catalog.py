@@ -5,6 +5,7 @@ import subprocess
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tessera.plans import catalog
@@ -13,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents"
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return ""
     if hasattr(value, "tolist"):
         value = value.tolist()
