@@ -14,10 +14,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents"
 
 
 def plain(value):
-    if value is None or value is pd.NA or value != value:
-        return ""
     if hasattr(value, "tolist"):
         value = value.tolist()
+    if value is None or value is pd.NA or value != value:
+        return ""
     return str(int(value)) if isinstance(value, float) and value == int(value) else str(value)
 
 
