@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.operators.score import GoldError
 
@@ -82,21 +82,15 @@ class _Slice(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
         self.schema, self.path, self.table = schema, options["path"], options.get("dbtable", "documentos")
-        self.slices, self.where = int(options.get("numpartitions", "8")), []
+        self.slices = int(options.get("numpartitions", "8"))
+        column, _, value = options.get("equals", "").partition("=")
+        self.where = [(column, value)] if column else []
 
     def _open(self):
         import sqlite3
 
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
 
-    def pushFilters(self, filters):
-        """Equalities go to SQLite; the others stay with Spark."""
-        for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1 and isinstance(f.value, (str, int)):
-                self.where.append((f.attribute[0], f.value))
-            else:
-                yield f
-
     def partitions(self):
         with self._open() as db:
             lo, hi = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
@@ -117,7 +111,11 @@ class _Reader(DataSourceReader):
 
 
 class SqliteSource(DataSource):
-    """A read-only SQLite table; columns are found at run time, row ranges are read in parallel."""
+    """A read-only SQLite table; columns are found at run time, row ranges are read in parallel.
+
+    The option `equals`, as in "natureza=acordao", is tested by SQLite. (Filters that Spark pushes to a
+    Python reader stay with the table for later queries on 4.1, so this reader takes none.)
+    """
 
     @classmethod
     def name(cls):
@@ -138,10 +136,11 @@ class SqliteSource(DataSource):
         return _Reader(schema, self.options)
 
 
-def canonical(spark: SparkSession, path: str, table: str = "documentos") -> DataFrame:
+def canonical(spark: SparkSession, path: str, table: str = "documentos", equals: str = "") -> DataFrame:
     """The canonical table: SQLite where the path ends in .db or .sqlite (every executor must see the file), else Parquet."""
     if path.endswith((".db", ".sqlite", ".sqlite3")):
         spark.dataSource.register(SqliteSource)
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-        return spark.read.format("tessera_sqlite").option("dbtable", table).load(path)
-    return spark.read.parquet(path)
+        return spark.read.format("tessera_sqlite").option("dbtable", table).option("equals", equals).load(path)
+    rows = spark.read.parquet(path)
+    column, _, value = equals.partition("=")
+    return rows.filter(F.col(column) == value) if column else rows

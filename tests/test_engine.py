@@ -174,6 +174,7 @@ def test_sources_and_sinks(spark, tmp_path):
         made.executemany("INSERT INTO documentos VALUES (?,?,?,?,?,?)", [(5, "STJ", 2019, "A", "HABEAS CORPUS Nº 123456", "acordao"), (6, None, None, None, "Art. 1", "dispositivo")])
     canonical = readers.canonical(spark, str(db))
     assert canonical.filter("natureza = 'acordao'").count() == 1 and canonical.count() == 2
+    assert readers.canonical(spark, str(db), equals="natureza=acordao").count() == 1
     cites = resolve.predict(docs, canonical)
     assert [(r["classification"], r["canonical_id"]) for r in cites.collect()] == [("real", "5")]
     assert resolve.violations(cites, docs).count() == 0
