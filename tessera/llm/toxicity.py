@@ -207,13 +207,14 @@ def label_model(table: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.n
     pass discounts by all that voters share, the second by what the classes found then don't explain.
     """
     hot = np.stack([table == -1, table == 0, table == 1], 2).astype(float)
+    usual = hot.mean(0) + 1e-6  # smooths either class alike, so a voter that never votes says nothing
     keep = _discounts(table, None)
     cast = hot[:, :, 1:].sum(2) @ keep
     post = np.where(cast > 0, np.clip((hot[:, :, 2] @ keep) / np.maximum(cast, 1e-9), 0.05, 0.95), 0.3)
     for again in range(2):
         for _ in range(rounds):
             both = np.stack([1 - post, post])
-            rate = (np.einsum("cn,nvo->cvo", both, hot) + 0.5) / (both.sum(1)[:, None, None] + 1.5)
+            rate = (np.einsum("cn,nvo->cvo", both, hot) + 2 * usual) / (both.sum(1)[:, None, None] + 2)
             share = min(max(post.mean(), 0.02), 0.98) if prior <= 0 else prior
             gain = (np.clip(np.log(rate[1]) - np.log(rate[0]), -CERTAIN, CERTAIN) * keep[:, None])[None] * hot
             fresh = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + gain.sum((1, 2)), -30, 30)))
