@@ -43,7 +43,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.frame(spark, sf_dir, C.BRIEFS)
+    # One small file makes texts for all cores.
+    return C.frame(spark, sf_dir, C.BRIEFS).repartition(spark.sparkContext.defaultParallelism)
 
 
 # ---- text
