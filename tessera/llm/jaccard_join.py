@@ -22,7 +22,13 @@ every link, by a bound that the triangle inequality gives.
    those i with |d(w,p) - d(i,p)| <= 1/4. Texts beyond 1/2 can't. The rest, boundary included, is
    joined by the next pivot. What is compared is compared exactly, on whole sets.
 
-Texts of one set are one point: they are linked without being compared, and count once in every step.
+For components, links that connect are enough. For numbers of links every pair that links is found:
+two texts near one pivot link uncompared if d(i,p) + d(j,p) <= 1/4, and are compared otherwise. A pair
+that meets in many regions or tiles counts in one: the region of its least common centre. Only sums
+leave a tile, so rows don't grow with the pairs.
+
+Texts of one set are one point: they are linked without being compared, and count once in every step
+(as many partners as they are, in the numbers of links).
 """
 
 from __future__ import annotations
@@ -38,6 +44,8 @@ from tessera.llm.shared import NON_SPACE, materialize, mix, text_buffer, token_h
 #: Link if DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 REGIONS, SUPPORT_TOKENS, REGION, PACK_TOKENS, BROADCAST_ROWS = 64, 4_000_000, 512, 1_500_000, 1_000_000
+#: Up to so many pairs are compared one by one; more by matrices of so many columns at a time.
+PAIRWISE, COLUMNS = 32, 4096
 #: A shingle is frequent if it is in this share of the texts; at most (mean set size) / FREQUENT are.
 FREQUENT = 1 / 1000
 _SALT = np.uint64(0x2545F4914F6CDD1D)
@@ -255,6 +263,54 @@ def ball_join(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
+def ball_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All links between the sets (sorted, not empty), each once: step 4 without a stop at the first link."""
+    sizes, reach = np.array([len(s) for s in sets]), 1 - NUM / DEN
+    left = np.argsort(-sizes, kind="stable")
+    first, second = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while len(left) > 1:
+        n = sizes[left]
+        inter = _overlap(sets[left[0]], np.concatenate([sets[i] for i in left]), np.concatenate([[0], np.cumsum(n)[:-1]]))
+        union = n + n[0] - inter
+        near = DEN * inter >= NUM * union
+        inner, edge = np.flatnonzero(near)[1:], np.flatnonzero(~near & (2 * inter >= union))
+        first.append(np.full(len(inner), left[0]))
+        second.append(left[inner])
+        if len(inner):
+            others, gap = np.concatenate([inner, edge]), 1 - inter / union
+            later = np.arange(len(inner))[:, None] < np.arange(len(others))
+            a, b = gap[inner][:, None], gap[others]
+            sure = later & (a + b <= reach - 1e-9)
+            fits = DEN * np.minimum(n[inner][:, None], n[others]) >= NUM * np.maximum(n[inner][:, None], n[others])
+            i, j = np.nonzero(later & ~sure & fits & (np.abs(a - b) <= reach + 1e-9))
+            both = _shared([sets[x] for x in left[others]], i, j)
+            linked = DEN * both >= NUM * (n[inner[i]] + n[others[j]] - both)
+            for i, j in (np.nonzero(sure), (i[linked], j[linked])):
+                first.append(left[inner[i]])
+                second.append(left[others[j]])
+        left = left[~near]
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many items sets i[k] and j[k] share: pair by pair, or by products of incidence matrices if there are many pairs."""
+    if len(i) <= PAIRWISE:
+        return np.array([_pair(sets[a], sets[b]) if len(sets[a]) and len(sets[b]) else 0 for a, b in zip(i, j, strict=True)], np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    known = times[column] > 1
+    column, owner = (np.cumsum(times > 1) - 1)[column[known]], owner[known]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        at = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        marks = np.zeros((len(sets), COLUMNS), np.float32)
+        marks[owner[at], column[at] - lo] = 1
+        both += marks @ marks.T
+    return both[i, j].astype(np.int64)
+
+
 def _overlap(pivot: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     spot = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
     return np.add.reduceat((pivot[spot] == flat).astype(np.int64), at)
@@ -265,8 +321,11 @@ def _pair(a: np.ndarray, b: np.ndarray) -> int:
     return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
 
 
-def _links(sets: DataFrame) -> DataFrame:
-    """(a, b): links between entities, which connect all that links connect."""
+def _links(sets: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(a, b, n): links between entities, which connect all that links connect, with n = 0.
+
+    With `rows` (entity, rows) also (a, null, n): parts of the number of rows that the rows of a link to.
+    """
     window = sets.select("entity", F.explode("window").alias("pivot"))
     centre = window.groupBy("pivot").agg(F.min("entity").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     members = materialize(window.join(centre, "pivot").select("centre", "entity").distinct(), "regions")
@@ -274,32 +333,67 @@ def _links(sets: DataFrame) -> DataFrame:
     parts = members.join(sizes, "centre").withColumn("g", F.when(F.col("n") <= REGION, 1).otherwise(F.ceil(F.col("n") / (REGION // 2))).cast("long"))
     mine = F.pmod(F.xxhash64("entity", "centre"), F.col("g"))
     dealt = parts.select("centre", "entity", "g", mine.alias("mine")).select("centre", "entity", "g", "mine", F.explode(F.expr("sequence(0L, g - 1)")).alias("other"))
-    tiles = dealt.filter("g = 1 OR mine <> other").select("entity", "centre", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    tiles = dealt.filter("g = 1 OR mine <> other").select("entity", "centre", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     full = tiles.join(sets.select("entity", "items"), "entity")
+    carried, joined = ["entity", "items"], _joined
+    if rows is not None:
+        lists = members.groupBy("entity").agg(F.sort_array(F.collect_list("centre")).alias("centres")).join(rows, "entity")
+        full, carried, joined = full.join(lists, "entity"), ["entity", "items", "mine", "rows", "centres"], _counted
 
     def join(batches):
-        key, names, items = None, [], []
+        key, held = None, []
         for batch in batches:
             keys = zip(*(batch.column(x).to_pylist() for x in ("centre", "i", "j")), strict=True)
-            for new, name, item in zip(keys, batch.column("entity").to_pylist(), batch.column("items"), strict=True):
-                if new != key and names:
-                    yield from _joined(names, items)
-                    names, items = [], []
+            for new, *row in zip(keys, *(batch.column(x) for x in carried), strict=True):
+                if new != key and held:
+                    yield from joined(key, held)
+                    held = []
                 key = new
-                names.append(name)
-                items.append(np.frombuffer(item.as_py(), np.uint64))
-        if names:
-            yield from _joined(names, items)
+                held.append((row[0].as_py(), np.frombuffer(row[1].as_py(), np.uint64), *(x.as_py() for x in row[2:4]), *(np.asarray(x.values) for x in row[4:])))
+        if held:
+            yield from joined(key, held)
 
     # Sorted, a region's rows follow each other: a task holds one region at a time.
     ordered = full.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
-    return ordered.select("centre", "i", "j", "entity", "items").mapInArrow(join, "a long, b long")
+    return ordered.select("centre", "i", "j", *carried).mapInArrow(join, "a long, b long, n long")
+
 
+def _batch(a, b, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
-def _joined(names: list[int], items: list[np.ndarray]):
-    found = ball_join(items) if len(names) > 1 else []
+
+def _joined(key: tuple, held: list[tuple]):
+    found = ball_join([x[1] for x in held]) if len(held) > 1 else []
     if found:
-        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in found], pa.int64()), pa.array([names[j] for _, j in found], pa.int64())], ["a", "b"])
+        yield _batch([held[i][0] for i, _ in found], [held[j][0] for _, j in found], [0] * len(found))
+
+
+def _counted(key: tuple, held: list[tuple]):
+    """Of the pairs of a tile that link, those that no other tile or region has to count."""
+    if len(held) < 2:
+        return
+    (centre, low, high), (names, items, mine, rows, centres) = key, zip(*held, strict=True)
+    names, mine, rows = np.array(names, np.int64), np.array(mine, np.int64), np.array(rows, np.int64)
+    i, j = ball_pairs(list(items))
+    # Texts of one share of a region meet in each of the share's tiles, and count in the first.
+    here = (mine[i] != mine[j]) | (low == high) | ((low == 0) & (high == np.where(mine[i] == 0, 1, mine[i])))
+    i, j = i[here], j[here]
+    alone = _shared([c[c < centre] for c in centres], i, j) == 0
+    i, j = i[alone], j[alone]
+    if not len(i):
+        return
+    n = np.zeros(len(names), np.int64)
+    np.add.at(n, i, rows[j])
+    np.add.at(n, j, rows[i])
+    label, before = np.arange(len(names)), None
+    while not np.array_equal(label, before):
+        before, least = label.copy(), np.minimum(label[i], label[j])
+        np.minimum.at(label, i, least)
+        np.minimum.at(label, j, least)
+        label = label[label]
+    far, some = np.flatnonzero(label != np.arange(len(names))), np.flatnonzero(n)
+    yield _batch(names[far], names[label[far]], np.zeros(len(far), np.int64))
+    yield _batch(names[some], [None] * len(some), n[some])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
@@ -309,29 +403,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows among them, are linked. A null id is never the least unless all ids of a component are null.
     No rows give no rows; other columns of `docs` are not read.
     """
+    return _joined_rows(docs, id_col, text_col, k, False)
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+    """`jaccard_components` with n_links: how many other rows a row's text links to, those of equal sets included."""
+    return _joined_rows(docs, id_col, text_col, k, True)
+
+
+def _joined_rows(docs: DataFrame, id_col: str, text_col: str, k: int, counted: bool) -> DataFrame:
     named = materialize(_named(docs, id_col, text_col, k), "shingles")
-    classes = named.filter("n_shingles > 0").groupBy("entity").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
+    classes = named.filter("n_shingles > 0").groupBy("entity").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
     classes = materialize(classes, "classes")
     tokens, texts = classes.agg(F.sum("n"), F.count(F.lit(1))).first()
     nodes = None
     if texts:
         support, frequent, regions = _supported(docs, text_col, k, tokens, texts)
-        able = classes.join(support, "entity").filter(F.col("support") >= F.ceil(F.col("n") * NUM / DEN)).select("entity", "least")
+        able = classes.join(support, "entity").filter(F.col("support") >= F.ceil(F.col("n") * NUM / DEN)).select("entity", "least", "rows")
         able = materialize(able, "able")
         hot = np.array(sorted(r[0] for r in frequent.collect()), np.int64)
-        chosen = named.select("doc_id", "entity").join(able, "entity").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("__tessera_able")).distinct()
+        chosen = named.select("doc_id", "entity").join(able.drop("rows"), "entity").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("__tessera_able")).distinct()
         small = able.count() <= BROADCAST_ROWS
         picked = docs.join(F.broadcast(chosen) if small else chosen, docs[id_col].eqNullSafe(chosen["__tessera_able"]), "left_semi")
         sets = materialize(_sets(picked, id_col, text_col, k, hot, regions).dropDuplicates(["entity"]), "sets")
-        linked = components(_links(sets))
+        found = _links(sets, able.select("entity", "rows") if counted else None)
+        found = materialize(found, "links") if counted else found
+        linked = components(found.filter("n = 0").select("a", "b"))
         # From the least entity of a component to the least document.
         named_nodes = linked.join(classes.select(F.col("entity").alias("node"), "least"), "node")
         least = named_nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-        nodes = materialize(linked.join(least, "component").select(F.col("node").alias("entity"), F.col("component_id").alias("linked_id")), "nodes")
-    owners = classes if nodes is None else classes.join(nodes, "entity", "left")
-    owners = owners.select("entity", (F.col("least") if nodes is None else F.coalesce("linked_id", "least")).alias("component_id"))
+        nodes = linked.join(least, "component").select(F.col("node").alias("entity"), F.col("component_id").alias("linked_id"))
+        if counted:
+            nodes = nodes.join(found.filter("n > 0").groupBy(F.col("a").alias("entity")).agg(F.sum("n").alias("n")), "entity", "left")
+        nodes = materialize(nodes if counted else nodes.withColumn("n", F.lit(0)), "nodes")
+    owners = classes.withColumns({"linked_id": F.lit(None), "more": F.lit(0)}) if nodes is None else classes.join(nodes.withColumnRenamed("n", "more"), "entity", "left")
+    owners = owners.select("entity", F.coalesce("linked_id", "least").alias("component_id"), (F.col("rows") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     grown = named.join(owners.withColumnRenamed("entity", "owner"), (F.col("entity") == F.col("owner")) & (F.col("n_shingles") > 0), "left")
-    return grown.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = grown.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out if counted else out.drop("n_links")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:

@@ -43,7 +43,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_links(table(spark, sf_dir, "documents"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

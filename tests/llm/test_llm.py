@@ -141,6 +141,34 @@ def test_ball_join_connects_what_links():
         assert parts(found) == parts(links)
 
 
+def _links(rows):
+    sets = _sets(rows)
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    return [(r[0], sum(linked(s, o) for o in sets) - bool(s)) for r, s in zip(rows, sets, strict=True)]
+
+
+def test_ball_pairs_finds_every_link():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        base = [np.unique(rng.integers(0, 10_000, 40)) for _ in range(3)]
+        sets = [np.unique(np.where(rng.random(len(b)) < 0.1, rng.integers(0, 10_000, len(b)), b)).astype(np.uint64) for b in (base[int(rng.integers(3))] for _ in range(30))]
+        links = [(i, j) for i, j in itertools.combinations(range(30), 2) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+        found = [tuple(sorted(map(int, x))) for x in zip(*jaccard_join.ball_pairs(sets), strict=True)]
+        assert sorted(found) == links
+
+
+def test_jaccard_links_count_every_pair(spark, docs, rows, monkeypatch):
+    got = jaccard_join.jaccard_links(docs)
+    assert sorted([(r["doc_id"], r["n_links"]) for r in got.collect()], key=str) == sorted(_links(rows), key=str)
+    rng = random.Random(4)
+    near = [(i, " ".join(f"g{rng.randint(0, 2)}_{j}" if rng.random() < 0.02 else f"c{i % 3}_{j}" for j in range(90))) for i in range(90)]
+    near += [(i + 90, near[i][1]) for i in range(0, 20, 2)]
+    monkeypatch.setattr(jaccard_join, "REGION", 8)
+    got = jaccard_join.jaccard_links(spark.createDataFrame(near, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == sorted(_links(near))
+    assert sorted(tuple(r)[:3] for r in got) == sorted(_components([(*r, None) for r in near]))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 100), (200, 200)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
