@@ -20,9 +20,13 @@ from pyspark.sql import DataFrame
 # HTML's elements by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object"}
+#: Elements of RAW that a slash closes: svg as foreign content, object as pages write it.
+EMPTY = {"svg", "object"}
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
+#: Elements that may stand in a head; any other one, or text, ends it.
+IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 HIDDEN = RAW - {"textarea", "object"} | {"head"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?", re.S)
@@ -61,6 +65,8 @@ def blocks(page: str | None) -> list[Block]:
     def add(text: str) -> None:
         nonlocal linked
         if text:
+            if stack and stack[-1][0] == "head" and not text.isspace():
+                stack.pop()
             parts.append(text)
             if stack and "a" in stack[-1][1]:
                 linked += len(text)
@@ -93,6 +99,13 @@ def blocks(page: str | None) -> list[Block]:
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break
             continue
+        if tag not in IN_HEAD:
+            for i in range(len(stack)):
+                if stack[i][0] == "head":
+                    del stack[i:]
+                    break
+        if tag in EMPTY and found[3].endswith("/"):
+            continue
         if tag in RAW:
             end = page.lower().find(f"</{tag}", at) if len(page) < 4096 else _find_end(page, tag, at)
             at = len(page) if end < 0 else page.find(">", end) + 1 or len(page)

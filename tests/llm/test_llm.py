@@ -276,6 +276,15 @@ def test_html_extraction(spark, trained):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string"), trained).count() == 0
 
 
+def test_html_head_left_open_and_closed_svg():
+    texts = lambda page: [b.text for b in html_extract.blocks(page)]
+    for start in ("<body>", "<body class=x><main>", "<article>", "<div><svg/>", '<svg viewBox="0 0 1 1" /><object data="x" />'):
+        assert texts(f"<html><head><title>t</title><meta charset=utf-8><link rel=x>{start}<p>The text.</p><p>More.</p>") == ["The text.", "More."], start
+    assert texts("<head><title>t</title><style>p {}</style><noscript>no</noscript></head><body><p>a</p><svg><path/>no</svg><p>b</p>") == ["a", "b"]
+    assert texts("<head> <title>t</title>\nPlain <b>text</b>.") == ["Plain text."]
+    assert texts("<head><script src=x />no</script><p>a</p>") == ["a"]
+
+
 def test_viterbi_and_likelihood_agree_with_enumeration(trained):
     found = html_extract.blocks(html_extract.labelled_pages(1, seed=4)[0][0])[:8]
     gains = [sum(trained.weights.get(f, 0.0) for f in html_extract.path_features(b.path) + html_extract.text_features(b, i, len(found))) for i, b in enumerate(found)]
