@@ -9,6 +9,10 @@ The lexicon has at most (mean number of distinct terms of a text) / LOW terms, h
 corpus; it goes to the executors as one byte string with SLOTS slots a term, in which a term's hash
 names a slot. A term outside the band passes with a probability of 1 / SLOTS at most, and then
 always, so equal texts have equal fingerprints.
+
+Frequencies count distinct texts, so exact copies don't move the band. Terms of a large group of near
+copies can still be above it: a text with fewer than LEAST terms in the lexicon takes the more
+frequent terms as well, octave by octave, and at last all its terms.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from tessera.llm.shared import materialize
 
 #: Shares of the texts that a term of the lexicon is in.
 LOW, HIGH, SUBSET_BITS, SLOTS, MAX_SLOTS, RANGE_ROWS = 0.005, 0.1, 6, 64, 1 << 24, 20_000
+#: Least number of terms of a fingerprint, if a text has them; octaves above the band.
+LEAST, OCTAVES = 8, 3
 HEAD, TAIL = 0x4E00, 6  # first code point of the subsets' signs; hex digits kept of each hash
 
 
@@ -30,27 +36,37 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(texts: DataFrame, text_col: str, low: float = LOW, high: float = HIGH) -> bytes:
-    """Slots of the terms whose document frequency is in the band; counts all texts, in one combined shuffle."""
-    n = texts.count()
-    df = texts.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    band = materialize(df.filter((F.col("df") >= max(2, low * n)) & (F.col("df") <= high * n)).select("term"), "lexicon")
+    """Slots of the terms whose document frequency is at least `low`: 1 in the band, 2 to 1 + OCTAVES above it. Counts distinct texts, in combined shuffles."""
+    text = texts.select(F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text", F.char_length("text")))
+    n = text.select("hash").distinct().count()
+    df = text.dropDuplicates(["hash"]).select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    octave = F.lit(1)
+    for i in range(OCTAVES):
+        octave = octave + (F.col("df") > high * n * 2**i).cast("int")
+    band = materialize(df.filter(F.col("df") >= max(2, low * n)).select("term", octave.alias("octave")), "lexicon")
     size = 1 << 10
     while size < SLOTS * band.count() and size < MAX_SLOTS:
         size *= 2
     slots = bytearray(size)
-    for (slot,) in band.select(F.pmod("term", F.lit(size))).distinct().collect():
-        slots[slot] = 1
+    for slot, mark in band.groupBy(F.pmod("term", F.lit(size))).agg(F.min("octave")).collect():
+        slots[slot] = mark
     return bytes(slots)
 
 
 def with_parts(rows: DataFrame, text_col: str, out: str, slots: bytes) -> DataFrame:
     """`rows` with `out`, a string for each subset that a text has terms of: the subset's sign and a hash of its sorted terms.
 
-    A text without terms in the lexicon has one part, a hash of the whole text under a sign of its own.
+    A text without terms has one part, a hash of the whole text under a sign of its own.
     """
-    marks, one = F.lit(bytearray(slots)), F.lit(bytearray(b"\x01"))
-    text = F.col(text_col)
-    known = F.sort_array(F.filter(terms(text), lambda t: F.substring(marks, (F.pmod(t, F.lit(len(slots))) + 1).cast("int"), F.lit(1)) == one))
+    marks, text, own = F.lit(bytearray(slots)), F.col(text_col), F.col(f"{out}_terms")
+    # The slots are a large literal: each term is marked once, in one place.
+    marked = F.transform(terms(text), lambda t: F.struct(F.substring(marks, (F.pmod(t, F.lit(len(slots))) + 1).cast("int"), F.lit(1)).alias("octave"), t.alias("term")))
+    within = lambda top: F.filter(own, lambda t: t["octave"].isin([bytearray([x]) for x in range(1, top + 1)]))["term"]
+    rows = rows.withColumn(f"{out}_terms", marked).withColumn(f"{out}_band", within(1))
+    enough = F.when(F.size(f"{out}_band") >= LEAST, F.col(f"{out}_band"))
+    for top in range(2, 2 + OCTAVES):
+        enough = enough.when(F.size(within(top)) >= LEAST, within(top))
+    known = F.sort_array(enough.otherwise(own["term"]))
     signs = "".join(chr(HEAD + i) for i in range(1 << SUBSET_BITS))
     line = F.array_join(F.transform(known, lambda t: F.concat(F.substring(F.lit(signs), (F.shiftrightunsigned(t, 64 - SUBSET_BITS) + 1).cast("int"), F.lit(1)), F.hex(t))), "")
     runs = F.regexp_extract_all(line, F.lit(r"([^0-9A-F])[0-9A-F]+(?:\1[0-9A-F]+)*"), F.lit(0))
@@ -58,7 +74,7 @@ def with_parts(rows: DataFrame, text_col: str, out: str, slots: bytes) -> DataFr
     found = F.transform(runs, lambda r: F.concat(F.lpad(F.lower(F.hex(F.ascii(r) - HEAD)), 2, "0"), short(F.xxhash64(r))))
     none = F.array(F.concat(F.lit("zz"), F.lower(F.hex(F.xxhash64(text)))))
     # Two steps, so that `found` is computed once.
-    return rows.withColumn(out, found).withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(none))
+    return rows.withColumn(out, found).withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(none)).drop(f"{out}_terms", f"{out}_band")
 
 
 def likeness(a: Column, b: Column) -> Column:

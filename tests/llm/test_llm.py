@@ -264,6 +264,19 @@ def test_fingerprints(spark, docs, none, rows):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_fingerprints_of_a_large_group(spark):
+    """Copies don't move the lexicon, and near copies that hold a third of the rows are still alike."""
+    rng = random.Random(6)
+    words, base = [f"v{i}" for i in range(2000)], [f"b{i}" for i in range(100)]
+    other = [(i, " ".join(rng.choices(words, k=100))) for i in range(200)]
+    near = [(1000 + i, " ".join(base[:i] + [f"edit{i}"] + base[i + 1 :])) for i in range(100)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert fingerprints.lexicon(frame(other + [(5000 + i, other[0][1]) for i in range(150)]), "text") == fingerprints.lexicon(frame(other), "text")
+    got = {r["doc_id"]: r["near_next"] for r in fingerprints.fingerprints(frame(other + near)).collect()}
+    assert min(got[1000 + i] for i in range(1, 100)) > 0.5
+    assert max(got[i] for i in range(1, 200)) < 0.5
+
+
 def test_html_extraction(spark, trained):
     pages = html_extract.labelled_pages(150, seed=77)
     assert sum(trained.text(p) == m for p, m in pages) >= 135
