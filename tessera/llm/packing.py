@@ -7,90 +7,186 @@ how often), and a piece's place follows from its rank among the pieces of its le
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialize
+from tessera.llm.shared import materialize, text_buffer
 
-CACHE_WORDS, CACHE_CHARS = 150_000, 48
+CACHE_WORDS, CACHE_BYTES, PART_BYTES = 300_000, 48, 4 << 20
 RANK_ROWS = 50_000
 _END = (0).to_bytes(4, "little")
-_GAP = re.compile(r"\s\s|^\s|\s$")
 
 
-class ByteBpe:
-    """Ids of byte-level BPE, as little-endian 32-bit numbers; words between single spaces are remembered."""
+def starts_visible(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether characters that start at `at` are surely no white space: those whose first byte is C2 or E1 to E3 may be."""
+    byte = raw[at]
+    return (byte > 32) & (byte != 0xC2) & ((byte < 0xE1) | (byte > 0xE3))
 
-    def __init__(self, ranks_path: str, pattern: str):
-        import base64
-
-        import tiktoken
-
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.cache = _Cache(self.plain)
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """A space between two visible characters starts a word of the splitting pattern, so the parts can be encoded alone."""
-        if _GAP.search(text):
-            return self.plain(text)
-        head, *words = text.split(" ")
-        return self.plain(head) + b"".join(map(self.cache.__getitem__, words))
 
+def ends_visible(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same of characters that end at `at`."""
+    byte, two, three = raw[at], raw[np.maximum(at - 1, 0)], raw[np.maximum(at - 2, 0)]
+    return (byte > 32) & ((byte < 0x80) | (two != 0xC2) & ((three < 0xE1) | (three > 0xE3)))
 
-class _Cache(dict):
-    def __init__(self, encode):
-        self.encode = encode
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(" " + word)
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+def word_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts can be cut so that their parts have the ids of the whole: at their starts, and at spaces between two visible characters.
 
+    There the byte-level splitting pattern always begins a new word.
+    """
+    opens = np.zeros(len(raw), bool)
+    opens[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    at = np.flatnonzero(raw == 32)
+    at = at[(at > 0) & (at < len(raw) - 1)]
+    opens[at[starts_visible(raw, at + 1) & ends_visible(raw, at - 1)]] = True
+    return np.flatnonzero(opens)
+
+
+def byte_ranks(path: str) -> tuple[dict[bytes, int], list[str]]:
+    """Bytes and ids of a byte-level BPE's tokens, whose ids are in the order of the merges; and its special tokens."""
+    import json
+
+    with open(path, encoding="utf-8") as lines:
+        told = json.load(lines)
+    # Byte-level vocabularies write bytes that don't print as the characters from 256 on.
+    printed = [b for b in range(256) if chr(b).isprintable() and b not in (32, 173)]
+    byte = {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printed)))}
+    special = [x["content"] for x in told["added_tokens"]]
+    return {bytes(byte[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in special}, special
+
+
+class Encoder:
+    """Ids of a byte-level BPE in a `tokenizers` file, as its `encode(text, add_special_tokens=False)` gives them.
+
+    Texts are cut into words (word_starts) and each distinct word of a part is encoded once. Known
+    words are looked up; the others are put together and encoded at once, by the same ranks. Words
+    that could join with their neighbours, or that hold a special token, go to the tokenizer itself.
+    Special tokens in a text have their own ids; with `special=False` they are ordinary text.
+    """
 
-_ENCODERS: dict[tuple[str, str], ByteBpe] = {}
-
+    def __init__(self, path: str, pattern: str, special: bool = True):
+        import os
 
-def encoder_of(ranks_path: str, pattern: str) -> ByteBpe:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_file(path)
+        self.coder.encode_special_tokens = not special
+        ranks, names = byte_ranks(path)
+        self.special = [x.encode() for x in names] if special else []
+        self.plain = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.width[i] = len(token)
+        self.known, self.ids, self.ends = pa.array([], pa.large_binary()), np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def words(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after another, and where each word's end."""
+        at, (raw, offsets) = np.arange(len(words)), text_buffer(words)
+        size = np.diff(offsets)
+        second = np.minimum(offsets[:-1] + 1, len(raw) - 1)
+        apart = (size > 1) & (raw[offsets[:-1]] == 32) & starts_visible(raw, second) & ends_visible(raw, offsets[1:] - 1)
+        whole = raw.tobytes()
+        for name in self.special:
+            found = whole.find(name)
+            while found >= 0:
+                apart[np.searchsorted(offsets, found, "right") - 1] = False
+                found = whole.find(name, found + 1)
+        joined = at[apart]
+        ids = np.array(self.plain(text_buffer(words.take(pa.array(joined)))[0].tobytes().decode()), "<u4")
+        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size[joined])) + 1
+        rest = at[~apart]
+        lone = [np.array(x.ids, "<u4") for x in self.coder.encode_batch([x.decode("utf-8", "replace") for x in words.take(pa.array(rest)).to_pylist()], add_special_tokens=False)]
+        count = np.zeros(len(words), np.int64)
+        count[joined], count[rest] = np.diff(ends, prepend=0), [len(x) for x in lone]
+        begin = np.zeros(len(words), np.int64)
+        begin[joined], begin[rest] = ends - count[joined], len(ids) + np.cumsum(count[rest]) - count[rest]
+        return gathered(np.concatenate([ids, *lone]), begin, count), np.cumsum(count)
+
+    def texts(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin (and the last's end)."""
+        starts = word_starts(raw, offsets)
+        if not len(starts):
+            return np.empty(0, "<u4"), np.zeros(len(offsets), np.int64)
+        bounds = np.append(starts, len(raw))
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+        distinct, of = words.dictionary, words.indices.to_numpy()
+        spot = np.array(pc.fill_null(pc.index_in(distinct, value_set=self.known), -1), np.int64)
+        lost = np.flatnonzero(spot < 0)
+        fresh = distinct.take(pa.array(lost))
+        more, ends = self.words(fresh) if len(lost) else (np.empty(0, "<u4"), np.empty(0, np.int64))
+        flat = np.concatenate([self.ids, more])
+        spot[lost] = len(self.ends) - 1 + np.arange(len(lost))
+        every = np.concatenate([self.ends, len(self.ids) + ends])
+        begin, count = every[spot], np.diff(every)[spot]
+        ids = gathered(flat, begin[of], count[of])
+        first = np.concatenate([[0], np.cumsum(count[of])])[np.searchsorted(starts, offsets)]
+        # Words that recur are remembered; too many are forgotten at once.
+        keep = np.flatnonzero((np.bincount(of, minlength=len(distinct))[lost] > 1) & (np.diff(text_buffer(fresh)[1]) <= CACHE_BYTES))[:CACHE_WORDS]
+        if len(self.known) + len(keep) > CACHE_WORDS:
+            self.known, self.ids, self.ends = self.known[:0], self.ids[:0], self.ends[:1]
+        size = np.diff(ends, prepend=0)
+        self.known = pa.concat_arrays([self.known, fresh.take(pa.array(keep))])
+        self.ids = np.concatenate([self.ids, gathered(more, (ends - size)[keep], size[keep])])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size[keep])])
+        return ids, first
+
+
+def gathered(flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """flat[b:b + c] for each b and c, one after another."""
+    ends = np.cumsum(count)
+    return flat[np.repeat(begin - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+_ENCODERS: dict[tuple[str, str, bool], Encoder] = {}
+
+
+def encoder_of(path: str, pattern: str, special: bool = True) -> Encoder:
     """Built once in each Python worker."""
-    if (ranks_path, pattern) not in _ENCODERS:
-        _ENCODERS[ranks_path, pattern] = ByteBpe(ranks_path, pattern)
-    return _ENCODERS[ranks_path, pattern]
+    if (path, pattern, special) not in _ENCODERS:
+        _ENCODERS[path, pattern, special] = Encoder(path, pattern, special)
+    return _ENCODERS[path, pattern, special]
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", special: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and an end id, cut only where longer than `capacity`.
 
     The first piece takes what the others, all of `capacity`, leave. A null text is empty: one piece
-    that holds the end id.
+    that holds the end id. Texts are encoded in parts of about PART_BYTES; a longer text is one part.
     """
 
     def cut(batches):
-        bpe = encoder_of(ranks_path, pattern)
+        coder = encoder_of(tokenizer, pattern, special)
         for batch in batches:
-            at, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = bpe.ids(text.as_py() or "") + _END
-                n = len(ids) // 4
-                lo, k = 0, 0
-                while lo < n:
-                    hi = lo + ((n - lo) % capacity or capacity)
-                    at.append(i), piece.append(k), start.append(lo), length.append(hi - lo), crc.append(zlib.crc32(ids[4 * lo : 4 * hi]))
-                    lo, k = hi, k + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            raw, offsets = text_buffer(batch.column(1))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + PART_BYTES, "right")) - 1)
+                ids, first = coder.texts(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                yield rows(batch.column(0).slice(lo, hi - lo), memoryview(np.ascontiguousarray(ids)).cast("B"), first)
+                lo = hi
+
+    def rows(names, ids, first):
+        size = np.diff(first) + 1
+        many = -(-size // capacity)
+        at = np.repeat(np.arange(len(size)), many)
+        piece = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+        head = (size - 1) % capacity + 1
+        start = np.where(piece > 0, head[at] + (piece - 1) * capacity, 0)
+        length = np.where(piece > 0, capacity, head[at])
+        low = first[at] + start
+        high = np.minimum(low + length, first[at + 1])  # the end id isn't among the ids
+        crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        for i in (np.cumsum(many) - 1).tolist():
+            crc[i] = zlib.crc32(_END, crc[i])
+        return pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
@@ -262,10 +358,10 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     return ranked.select(*fields, "rank").mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", special: bool = True) -> DataFrame:
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. `tokenizer` is a file of byte-level BPE, `pattern` how it splits texts.
 
     No documents give no rows. Repeated documents are packed as often as they occur. Other columns
     are not read.
     """
-    return pack(materialize(pieces(docs, ranks_path, pattern, capacity, id_col, text_col), "pieces"), capacity)
+    return pack(materialize(pieces(docs, tokenizer, pattern, capacity, id_col, text_col, special), "pieces"), capacity)

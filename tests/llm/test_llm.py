@@ -414,28 +414,39 @@ def test_packing(spark, docs, none, rows):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
-    coder.encode_special_tokens = True
+    marked = [(1, "<|endoftext|>"), (2, "two <|endoftext|> parts<|endoftext|>"), (3, " <|endoftext|>\n\n x")]
+    docs = docs.unionByName(spark.createDataFrame(marked, "doc_id long, text string"), allowMissingColumns=True)
     for capacity in (64, 2048):
-        got = packing.pack_documents(docs, vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, capacity).collect()
+        got = packing.pack_documents(docs, vocabulary_path("byte_bpe_50k.json"), public_tokenizers.PATTERN, capacity).collect()
         want = []
-        for r in rows:
+        for r in [*rows, *marked]:
             ids = [*coder.encode(r[1] or "", add_special_tokens=False).ids, 0]
             cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
             want += [(r[0], k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(itertools.pairwise(cuts))]
         assert sorted([tuple(r)[:5] for r in got], key=str) == sorted(want, key=str)
         used, least = _packed(got, capacity), -(-sum(w[3] for w in want) // capacity)
         assert used <= least + 2
-    assert packing.pack_documents(none, vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    assert packing.pack_documents(none, vocabulary_path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 0
 
 
-def test_word_cache_gives_the_same_ids():
+@pytest.mark.parametrize("special", [True, False])
+def test_ids_are_those_of_the_tokenizer(monkeypatch, special):
+    """The default call of the tokenizer's file, special tokens included; and with a cache that overflows."""
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    bpe = packing.ByteBpe(vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coder = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    coder.encode_special_tokens = not special
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    own = packing.Encoder(vocabulary_path("byte_bpe_50k.json"), public_tokenizers.PATTERN, special)
+    assert special is False or coder.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
     rng = random.Random(9)
-    for _ in range(400):
-        text = "".join(rng.choice(["a", "the", "é", " ", " ", "\n", "'s", "12", "!?", "<|endoftext|>", "\t", " ", "中", "😀"]) for _ in range(rng.randint(0, 25)))
-        assert bpe.ids(text) == bpe.plain(text), text
+    parts = ["a", "the", "é", " ", " ", "\n", "'s", "12", "!?", "<|endoftext|>", "\t", " ", "中", "😀", "\u3000", "\xa0", "\x1c", "\x85", "ß", "–", "\u2009", "\u200b", "c'est", "\r\n", "½"]
+    for _ in range(150):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(20)] + [None, ""]
+        ids, first = own.texts(*shared.text_buffer(pa.array(texts)))
+        for i, text in enumerate(texts):
+            assert ids[first[i] : first[i + 1]].tolist() == coder.encode(text or "", add_special_tokens=False).ids, text
 
 
 def test_plan_uses_every_piece_and_is_near_the_least():
