@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 # HTML's elements by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object"}
+#: Of these, what isn't closed lasts to the end of the page; of the others only the tag is skipped.
+TO_THE_END = {"script", "style", "textarea", "title"}
 #: Elements of RAW that a slash closes: svg as foreign content, object as pages write it.
 EMPTY = {"svg", "object"}
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -29,8 +31,11 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 HIDDEN = RAW - {"textarea", "object"} | {"head"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# A comment, a section, a declaration, or a tag with its attributes, of which a quote belongs to a value only after "=" and if it is closed.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</(?:[^a-zA-Z>][^>]*)?>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*)>?", re.S)
+_NAMES = re.compile(r"(?<![^\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: The end tag of each raw element. Spelled in ASCII letters alone: others (the long s) would fit without case.
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -107,10 +112,13 @@ def blocks(page: str | None) -> list[Block]:
         if tag in EMPTY and found[3].endswith("/"):
             continue
         if tag in RAW:
-            end = page.lower().find(f"</{tag}", at) if len(page) < 4096 else _find_end(page, tag, at)
-            at = len(page) if end < 0 else page.find(">", end) + 1 or len(page)
+            end = _ENDS[tag].search(page, at)
+            if end:
+                at = page.find(">", end.end()) + 1 or len(page)
+            elif tag in TO_THE_END:
+                at = len(page)
             continue
-        if tag in VOID or found[3].endswith("/"):
+        if tag in VOID:
             continue
         ends = {"p"} if tag in CLOSES_P else SAME.get(tag, set())
         if ends:
@@ -125,11 +133,6 @@ def blocks(page: str | None) -> list[Block]:
     return [b for b in out if not HIDDEN.intersection(b.path)]
 
 
-def _find_end(page: str, tag: str, at: int) -> int:
-    found = re.compile(f"</{tag}", re.I).search(page, at)
-    return found.start() if found else -1
-
-
 def path_features(path: tuple[str, ...]) -> list[str]:
     return sorted({f"in {x}" for x in path} | ({f"own {[x for x in path if x[0] != '.'][-1]}"} if path else {"own -"}))
 
@@ -316,7 +319,12 @@ def trained() -> Field:
 
 
 def extract(pages: DataFrame, model: Field, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars for each row; a null or textless page has an empty text. A narrow map."""
+    """page_id, url, text, n_chars for each row, repeated rows and null ids included. A narrow map.
+
+    A null, empty or textless page has an empty text. Pages are read whole, however long, and equal
+    pages have equal texts. Where two readings score the same, a block is dropped. No rows give no
+    rows; other columns, whatever their names, are not read.
+    """
     weights, moves = model.weights, model.moves
 
     def run(batches):

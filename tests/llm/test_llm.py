@@ -298,6 +298,59 @@ def test_html_head_left_open_and_closed_svg():
     assert texts("<head><script src=x />no</script><p>a</p>") == ["a"]
 
 
+def test_html_loses_no_text(trained):
+    """However long a page is, whatever its letters' case mappings, and wherever quotes stand."""
+    texts = lambda page: [b.text for b in html_extract.blocks(page)]
+    page = "<article><p>" + "İ" * 30 + " first.</p><script>var a;</script><p>Second paragraph.</p></article>"
+    assert texts(page) == texts(f"<!--{'x' * 5000}-->" + page) == ["İ" * 30 + " first.", "Second paragraph."]
+    for odd in ("data-x=don't", "data-x=5\"", "title=a'b'c", "x='", 'x="', "'", '"', "=", "= 'a>b' c", 'alt="a > b"', "a=b/"):
+        assert texts(f"<article><p {odd}>First paragraph of the text.</p><p>Second.</p></article>") == ["First paragraph of the text.", "Second."], odd
+    assert texts("<p>a</p><!--><p>b</p><!---><p>c</p><!-- no --!><p>d</p></><p>e</p></ no><p>f</p>") == list("abcdef")
+    assert texts("<p>a</p><scriſt>b</scriſt><SCRIPT>no</scripty></SCRIPT\n><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a</p><svg><p>b</p><object><p>c</p><noscript><p>no</p></noscript><p>d</p>") == ["a", "b", "c", "d"]
+    rng = random.Random(12)
+    parts = ["<p>", "</p>", "<div class=x>", "</div>", "<b>", "</b>", "<script>x<y</script>", "<style>p{}</style>", "<!-- c -->", "İ", "ſ", "don't", "a b", " ", "&amp;", "<br>", "<p title=\"a>b\">", "<p x='", "\"", "'", "=", ">", "<", "</", "<svg/>", "<li>", "K"]
+    for _ in range(400):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        assert texts(page) == texts(f"<!--{'x' * 5000}-->{page}"), page
+
+
+def test_html_extraction_of_all_pages_agrees_with_a_parser(spark, small, trained):
+    """The pages of the tables have one article each; Python's parser reads its headings and paragraphs."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.on, self.parts = False, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.on |= tag == "article"
+            if tag in ("p", "h1", "article"):
+                self.parts.append([])
+            if tag == "br" and self.on:
+                self.parts[-1].append(" ")
+
+        def handle_endtag(self, tag):
+            self.on &= tag != "article"
+            if tag in ("p", "h1"):
+                self.parts.append([])
+
+        def handle_data(self, data):
+            if self.on:
+                self.parts[-1].append(data)
+
+    def article(page):
+        reader = Article()
+        reader.feed(page or "")
+        reader.close()
+        return "\n".join(x for x in (" ".join("".join(p).split()) for p in reader.parts) if x)
+
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    got = sorted(map(tuple, html_extract.extract(pages, trained).collect()))
+    assert got == sorted((r["page_id"], r["url"], article(r["html"]), len(article(r["html"]))) for r in pages.collect())
+
+
 def test_viterbi_and_likelihood_agree_with_enumeration(trained):
     found = html_extract.blocks(html_extract.labelled_pages(1, seed=4)[0][0])[:8]
     gains = [sum(trained.weights.get(f, 0.0) for f in html_extract.path_features(b.path) + html_extract.text_features(b, i, len(found))) for i, b in enumerate(found)]
