@@ -1,9 +1,14 @@
 """I-Match fingerprints, with SQL functions alone.
 
 A text's terms are kept if their document frequency, so their inverse document frequency, is in a
-chosen band. A random hash deals the terms of that lexicon to SUBSETS random subsets. The distinct
-terms of a text are sorted, by subset first, and each subset's run of terms is hashed: texts that
-differ in a few terms still share the hashes of the subsets those terms aren't in.
+chosen band. The distinct terms of a text are sorted, and the terms it has in each of several random
+subsets of the lexicon are hashed.
+
+Subsets come in 64 families, to which a hash deals the terms. Those of a family are nested: the n-th
+holds its terms whose hash ends in n zero bits or more, so about half of the one before. A text uses
+of each family the smallest subset that holds one of its terms: one or two terms, however long the
+text is. (Subsets of one size would hold many terms of a long text, and one changed term breaks them.)
+Two texts agree in about as many families as they share terms, of all they have.
 
 The lexicon has at most (mean number of distinct terms of a text) / LOW terms, however large the
 corpus; it goes to the executors as one byte string with SLOTS slots a term, in which a term's hash
@@ -23,10 +28,12 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import materialize
 
 #: Shares of the texts that a term of the lexicon is in.
-LOW, HIGH, SUBSET_BITS, SLOTS, MAX_SLOTS, RANGE_ROWS = 0.005, 0.1, 6, 64, 1 << 24, 20_000
+LOW, HIGH, FAMILY_BITS, SLOTS, RANGE_ROWS, BROADCAST_ROWS = 0.005, 0.1, 6, 64, 1_000_000, 1_000_000
 #: Least number of terms of a fingerprint, if a text has them; octaves above the band.
 LEAST, OCTAVES = 8, 3
-HEAD, TAIL = 0x4E00, 6  # first code point of the subsets' signs; hex digits kept of each hash
+#: First code points of the families' and the levels' signs; hex digits kept of each hash; code points that order rows of one id.
+FAMILIES, LEVELS, TAIL, LEAD = 0x4E00, 0x3400, 6, 32
+_LOW_BITS = 52
 
 
 def terms(text: Column) -> Column:
@@ -35,17 +42,38 @@ def terms(text: Column) -> Column:
     return F.transform(F.filter(F.array_distinct(words), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def lexicon(texts: DataFrame, text_col: str, low: float = LOW, high: float = HIGH) -> bytes:
-    """Slots of the terms whose document frequency is at least `low`: 1 in the band, 2 to 1 + OCTAVES above it. Counts distinct texts, in combined shuffles."""
-    text = texts.select(F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text", F.char_length("text")))
-    n = text.select("hash").distinct().count()
-    df = text.dropDuplicates(["hash"]).select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, row1, row2: rows with a 128-bit name of their id and text. A null text is empty."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    null = F.col("doc_id").isNull()
+    return rows.withColumns({"row1": F.xxhash64(null, "doc_id", "text"), "row2": F.xxhash64("text", F.lit(7), null, "doc_id")})
+
+
+def keys_of(rows: DataFrame) -> DataFrame:
+    """What orders rows and tells repeats, without the texts: written once, read often."""
+    told = {"lead": F.substring("text", 1, LEAD), "text1": F.xxhash64("text"), "text2": F.xxhash64("text", F.lit(7)), "n": F.char_length("text")}
+    return materialize(rows.withColumns(told).select("doc_id", "row1", "row2", *told), "keys")
+
+
+def lexicon(rows: DataFrame, keys: DataFrame, low: float = LOW, high: float = HIGH) -> bytes:
+    """Slots of the terms whose document frequency is at least `low`: 1 in the band, 2 to 1 + OCTAVES above it.
+
+    Counts distinct texts: of rows with equal texts (`keys` tell them), the others than the one of the
+    least name are left out, by a broadcast of their names only where they are few.
+    """
+    texts = keys.groupBy("text1", "text2").agg(F.min(F.struct("row1", "row2")).alias("first"), F.max(F.struct("row1", "row2")).alias("last"))
+    texts = materialize(texts, "texts")
+    n, repeated = texts.count(), texts.filter("first <> last").select("text1", "text2", "first")
+    others = materialize(keys.join(repeated, ["text1", "text2"]).filter(F.struct("row1", "row2") != F.col("first")).select("row1", "row2").distinct(), "others")
+    many = others.count()
+    one = rows.join(F.broadcast(others) if many <= BROADCAST_ROWS else others, ["row1", "row2"], "left_anti") if many else rows
+    df = one.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     octave = F.lit(1)
     for i in range(OCTAVES):
         octave = octave + (F.col("df") > high * n * 2**i).cast("int")
     band = materialize(df.filter(F.col("df") >= max(2, low * n)).select("term", octave.alias("octave")), "lexicon")
-    size = 1 << 10
-    while size < SLOTS * band.count() and size < MAX_SLOTS:
+    size, wanted = 1 << 10, SLOTS * band.count()
+    while size < wanted:
         size *= 2
     slots = bytearray(size)
     for slot, mark in band.groupBy(F.pmod("term", F.lit(size))).agg(F.min("octave")).collect():
@@ -54,9 +82,9 @@ def lexicon(texts: DataFrame, text_col: str, low: float = LOW, high: float = HIG
 
 
 def with_parts(rows: DataFrame, text_col: str, out: str, slots: bytes) -> DataFrame:
-    """`rows` with `out`, a string for each subset that a text has terms of: the subset's sign and a hash of its sorted terms.
+    """`rows` with `out`, a string for each family of subsets: its number and a hash of the text's sorted terms in the smallest subset that has any.
 
-    A text without terms has one part, a hash of the whole text under a sign of its own.
+    A text without terms has one part, a hash of the whole text under a number of its own.
     """
     marks, text, own = F.lit(bytearray(slots)), F.col(text_col), F.col(f"{out}_terms")
     # The slots are a large literal: each term is marked once, in one place.
@@ -66,48 +94,50 @@ def with_parts(rows: DataFrame, text_col: str, out: str, slots: bytes) -> DataFr
     enough = F.when(F.size(f"{out}_band") >= LEAST, F.col(f"{out}_band"))
     for top in range(2, 2 + OCTAVES):
         enough = enough.when(F.size(within(top)) >= LEAST, within(top))
-    known = F.sort_array(enough.otherwise(own["term"]))
-    signs = "".join(chr(HEAD + i) for i in range(1 << SUBSET_BITS))
-    line = F.array_join(F.transform(known, lambda t: F.concat(F.substring(F.lit(signs), (F.shiftrightunsigned(t, 64 - SUBSET_BITS) + 1).cast("int"), F.lit(1)), F.hex(t))), "")
-    runs = F.regexp_extract_all(line, F.lit(r"([^0-9A-F])[0-9A-F]+(?:\1[0-9A-F]+)*"), F.lit(0))
+    # Sorted by family (the first bits), then from the smallest subset up (by the zero bits at the end), then by the rest.
+    spare = 64 - FAMILY_BITS - _LOW_BITS
+    level = lambda t: F.lit((1 << spare) - 1) - F.least(F.bit_count(t.bitwiseAND(-t) - 1), F.lit((1 << spare) - 1))
+    family = F.lit(-(1 << (64 - FAMILY_BITS)))
+    placed = F.transform(enough.otherwise(own["term"]), lambda t: t.bitwiseAND(family).bitwiseOR(F.shiftleft(level(t).cast("long"), _LOW_BITS)).bitwiseOR(t.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))))
+    sign = lambda first, n, at: F.substring(F.lit("".join(chr(first + i) for i in range(n))), at.cast("int") + 1, F.lit(1))
+    line = F.transform(F.sort_array(placed), lambda v: F.concat(
+        sign(FAMILIES, 1 << FAMILY_BITS, F.shiftrightunsigned(v, 64 - FAMILY_BITS)), sign(LEVELS, 1 << spare, F.shiftrightunsigned(v, _LOW_BITS).bitwiseAND(F.lit((1 << spare) - 1))), F.hex(v.bitwiseAND(F.lit((1 << _LOW_BITS) - 1)))))
+    # Of each family, the run of the first level; the rest of the family goes.
+    f, lv = f"[{chr(FAMILIES)}-{chr(FAMILIES + 63)}]", f"[{chr(LEVELS)}-{chr(LEVELS + 63)}]"
+    runs = F.regexp_extract_all(F.array_join(line, ""), F.lit(rf"(({f})({lv})[0-9A-F]+(?:\2\3[0-9A-F]+)*)(?:\2{lv}[0-9A-F]+)*"), F.lit(1))
     short = lambda h: F.lower(F.substring(F.lpad(F.hex(h), 16, "0"), 1, TAIL))
-    found = F.transform(runs, lambda r: F.concat(F.lpad(F.lower(F.hex(F.ascii(r) - HEAD)), 2, "0"), short(F.xxhash64(r))))
+    found = F.transform(runs, lambda r: F.concat(F.lpad(F.lower(F.hex(F.ascii(r) - FAMILIES)), 2, "0"), short(F.xxhash64(r))))
     none = F.array(F.concat(F.lit("zz"), F.lower(F.hex(F.xxhash64(text)))))
     # Two steps, so that `found` is computed once.
     return rows.withColumn(out, found).withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(none)).drop(f"{out}_terms", f"{out}_band")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared parts of two fingerprints over all their parts, 0 to 1."""
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    """Families in which two fingerprints agree, over those that either has; 0 to 1."""
+    families = lambda x: F.transform(x, lambda p: F.substring(p, 1, 2))
+    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(families(a), families(b)))
 
 
-def with_next(rows: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
-    """`rows` with next_<c> for each carried column: that of the next row by descending id, after the last that of the first.
+def neighbours(keys: DataFrame) -> DataFrame:
+    """row1, row2, n, next1, next2: each distinct row's next one by descending id, after the last the first.
 
-    Rows go to ranges of ids (one shuffle), and each range gets a copy of the first row of the range
-    that follows, so no task sees more than a range. Null ids come last; rows of one id follow each
-    other by the carried columns.
+    Null ids come last; rows of one id go by the first LEAD code points of their text, then by their
+    name. Only keys are sorted: in ranges of about RANGE_ROWS rows, each of which also gets the first
+    row of the range that follows, from a table of one row a range.
     """
-    spark = rows.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
-    share = [i / ranges for i in range(1, ranges)]
-    ids = rows.select(F.col(id_col).alias("id"))
-    limits = sorted(set((ids.agg(F.percentile_approx("id", share, 100 * ranges)).first()[0] if share else None) or []))
-    place = F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x <= F.col("id"))), F.lit(0)) if limits else F.lit(0)
-    place = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(place).cast("int")
-    tops = sorted(ids.withColumn("range", place).groupBy("range").agg(F.max("id").alias("top")).collect(), key=lambda r: r["range"])
-    # The first row of each range also goes, as a ghost, to the end of the range before it (the one above).
-    ghosts = [(r["top"], tops[(i + 1) % len(tops)]["range"]) for i, r in enumerate(tops)]
-    kind = dict(rows.dtypes)[id_col]
-    targets = spark.createDataFrame(ghosts, f"top {kind}, target int") if ghosts else spark.createDataFrame([], f"top {kind}, target int")
-    placed = rows.withColumn("id", F.col(id_col)).withColumn("range", place)
-    both = placed.join(F.broadcast(targets), F.col("id").eqNullSafe(F.col("top")), "left")
-    spots = F.filter(F.array(F.struct(F.col("range").alias("at"), F.lit(0).alias("ghost")), F.struct(F.col("target").alias("at"), F.lit(1).alias("ghost"))), lambda s: s["at"].isNotNull())
-    dealt = both.withColumn("spot", F.explode(spots)).select(*rows.columns, "id", F.col("spot.at").alias("at"), F.col("spot.ghost").alias("ghost"))
-    order = Window.partitionBy("at").orderBy("ghost", F.col("id").desc_nulls_last(), *carried)
-    out = dealt.select(*rows.columns, "ghost", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried])
-    return out.filter("ghost = 0").drop("ghost")
+    spark = keys.sparkSession
+    order = [F.col("doc_id").desc_nulls_last(), "lead", "row1", "row2"]
+    rows = keys.select("doc_id", "lead", "row1", "row2", "n").dropDuplicates(["row1", "row2"])
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // RANGE_ROWS))
+    ranged = materialize(rows.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()).withColumn("ghost", F.lit(0)), "ranged")
+    firsts = ranged.withColumn("no", F.row_number().over(Window.partitionBy("range").orderBy(*order))).filter("no = 1").drop("no")
+    firsts = materialize(firsts, "firsts")
+    line = Window.orderBy("range")
+    before = F.coalesce(F.lag("range").over(line), F.max("range").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ghosts = firsts.withColumn("ghost", F.lit(1)).withColumn("range", before)
+    following = Window.partitionBy("range").orderBy("ghost", *order)
+    paired = ranged.unionByName(ghosts).withColumns({"next1": F.lead("row1").over(following), "next2": F.lead("row2").over(following)})
+    return materialize(paired.filter("ghost = 0").select("row1", "row2", "n", "next1", "next2"), "pairs")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,17 +145,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by as many
     first ones of the next document's text (or all of it), by descending id; the last one's next is
-    the first, so a single document's next is itself. A null text is empty. Of rows that repeat an
-    id, each is the next of the one before it, by text. Other columns are not read.
+    the first, so a single document's next is itself. A null text is empty. Rows that repeat an id
+    follow each other (see neighbours), repeats of a whole row too: the next of each but the last is
+    the row itself. No rows give no rows; other columns are not read.
+
+    Texts are read three times: for their keys, for the lexicon, and for the parts. They are shuffled
+    once, by their row's name, and once more the part of each that its neighbour needs.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    slots = lexicon(rows, "text")
-    paired = with_next(with_parts(rows, "text", "parts", slots), "doc_id", ["text", "parts"])
-    half = F.floor(F.char_length("text") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("next_text", F.lit(1), half))
-    told = paired.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "parts", "next_parts", edited.alias("edited"))
-    told = with_parts(told, "edited", "edited_parts", slots)
-    return told.select(
+    rows = named(docs, id_col, text_col)
+    keys = keys_of(rows)
+    repeats = materialize(keys.groupBy("row1", "row2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "repeats")
+    repeated = not repeats.isEmpty()
+    rows = rows.dropDuplicates(["row1", "row2"]) if repeated else rows
+    slots = lexicon(rows, keys)
+    told = with_parts(rows, "text", "parts", slots)
+    half = lambda n: F.floor(n / 2).cast("int")
+    given = neighbours(keys).select(F.col("row1").alias("to1"), F.col("row2").alias("to2"), half(F.col("n")).alias("room"), F.col("next1").alias("row1"), F.col("next2").alias("row2"))
+    lent = told.join(given, ["row1", "row2"]).select(F.col("to1").alias("row1"), F.col("to2").alias("row2"), F.substring("text", F.lit(1), F.col("room")).alias("borrowed"), F.col("parts").alias("next_parts"))
+    paired = told.join(lent, ["row1", "row2"])
+    if repeated:
+        paired = paired.join(repeats, ["row1", "row2"], "left").withColumn("turn", F.explode(F.sequence(1 - F.coalesce("copies", F.lit(1)), F.lit(0).cast("long"))))
+        last = F.col("turn") == 0
+        paired = paired.withColumns({"borrowed": F.when(last, F.col("borrowed")).otherwise(F.substring("text", F.lit(1), half(F.char_length("text")))), "next_parts": F.when(last, F.col("next_parts")).otherwise(F.col("parts"))})
+    size = F.char_length("text")
+    edited = F.concat(F.substring("text", F.lit(1), size - half(size)), "borrowed")
+    out = with_parts(paired.select("doc_id", size.cast("long").alias("n_chars"), "parts", "next_parts", edited.alias("edited")), "edited", "edited_parts", slots)
+    return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.array_join("parts", "").alias("fingerprint"), F.array_join("edited_parts", "").alias("edited_fingerprint"),
         likeness(F.col("parts"), F.col("edited_parts")).alias("near_edited"), likeness(F.col("parts"), F.col("next_parts")).alias("near_next"),
     )

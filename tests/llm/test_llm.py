@@ -243,27 +243,75 @@ def test_warc_files(spark, tmp_path):
     assert [(r["page"], r["record_type"], r["payload_bytes"], r["refers_to"]) for r in got] == [("7", "response", 3, None), ("8", "revisit", 3, "7")]
 
 
+def _prints(texts, every):
+    """Brute force: the parts of each text, as a function of the distinct texts' terms."""
+    import xxhash
+
+    hashed = lambda s: xxhash.xxh64_intdigest(s.encode(), seed=42)
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    words = lambda t: {signed(hashed(w)) for w in "".join(c if c.isalpha() or c.isnumeric() else " " for c in t.lower()).split()}
+    df, distinct = {}, set(every)
+    for text in distinct:
+        for w in words(text):
+            df[w] = df.get(w, 0) + 1
+    n = len(distinct)
+    band = {w: 1 + sum(c > fingerprints.HIGH * n * 2**i for i in range(fingerprints.OCTAVES)) for w, c in df.items() if c >= max(2, fingerprints.LOW * n)}
+    size = 1 << 10
+    while size < fingerprints.SLOTS * len(band):
+        size *= 2
+    slots = {}
+    for w, octave in band.items():
+        slots[w % size] = min(octave, slots.get(w % size, 99))
+    out = []
+    for text in texts:
+        own = words(text)
+        kept = next((k for top in range(1, 2 + fingerprints.OCTAVES) if len(k := [w for w in own if slots.get(w % size, 99) <= top]) >= fingerprints.LEAST), own)
+        best = {}
+        for w in kept:
+            u = w % 2**64
+            zeros = min(63, (u & -u).bit_length() - 1)
+            level, names = best.get(u >> 58, (-1, []))
+            if zeros >= level:
+                best[u >> 58] = (zeros, [*(names if zeros == level else []), u % 2**52])
+        runs = {g: "".join(chr(fingerprints.FAMILIES + g) + chr(fingerprints.LEVELS + 63 - level) + f"{x:X}" for x in sorted(names)) for g, (level, names) in best.items()}
+        out.append({f"{g:02x}{hashed(r) >> 40:06x}" for g, r in runs.items()} or {f"zz{hashed(text):x}"})
+    return out
+
+
+def _alike(a, b):
+    return len(a & b) / len({x[:2] for x in a | b})
+
+
 def test_fingerprints(spark, docs, none, rows):
     got = fingerprints.fingerprints(docs).collect()
+    assert "Python" not in fingerprints.fingerprints(docs)._jdf.queryExecution().toString()
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    want = []
-    for i, r in enumerate(order):
-        text, after = r[1] or "", order[(i + 1) % len(order)][1] or ""
-        half = len(text) // 2
-        want.append((r[0], len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
-    assert sorted([tuple(r)[:3] for r in got], key=str) == sorted(want, key=str)
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
-    prints = {}
-    by_key = {(w[0], w[1], w[2]): (r[1] or "") for w, r in zip(want, order, strict=True)}
-    for r in got:
-        prints.setdefault(by_key[tuple(r)[:3]], set()).add(r["fingerprint"])
-    assert all(len(x) == 1 for x in prints.values())
+    texts = [r[1] or "" for r in order]
+    after = texts[1:] + texts[:1]
+    edited = [t[: len(t) - len(t) // 2] + x[: len(t) // 2] for t, x in zip(texts, after, strict=True)]
+    own, changed, of_next = (_prints(x, texts) for x in (texts, edited, after))
+    parts = lambda s: {s} if s.startswith("zz") else {s[i : i + 8] for i in range(0, len(s), 8)}
+    want = [(r[0], len(t), hashlib.sha256(e.encode()).hexdigest(), sorted(p), sorted(c), round(_alike(p, c), 9), round(_alike(p, x), 9)) for r, t, e, p, c, x in zip(order, texts, edited, own, changed, of_next, strict=True)]
+    plain = [(r[0], r[1], r[2], sorted(parts(r[3])), sorted(parts(r[4])), round(r[5], 9), round(r[6], 9)) for r in got]
+    assert sorted(plain, key=str) == sorted(want, key=str)
     assert fingerprints.fingerprints(none).count() == 0
-    assert "Python" not in fingerprints.fingerprints(docs)._jdf.queryExecution().toString()
     one = fingerprints.fingerprints(docs.filter("doc_id = 30")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_neighbours_in_many_ranges(spark, monkeypatch):
+    """Ranges, empty ones among them, give each row the next id, and null ids and repeated rows come where they should."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    ids = [*range(0, 300, 3), None, None, 6]
+    docs = spark.createDataFrame([(i, f"text {i} {k % 2}" if i is None else f"text {i}") for k, i in enumerate(ids)], "doc_id int, text string").repartition(5)
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).filter("doc_id IS NOT NULL").collect()}
+    for i in range(0, 300, 3):
+        text, after = f"text {i}", f"text {i - 3}" if i else "text None 0"
+        half = len(text) // 2
+        assert got[i]["edited_sha256"] in {hashlib.sha256((text[: len(text) - half] + x[:half]).encode()).hexdigest() for x in ([text, after] if i == 6 else [after])}
+    assert fingerprints.fingerprints(docs).count() == len(ids)
+
+
 def test_fingerprints_of_a_large_group(spark):
     """Copies don't move the lexicon, and near copies that hold a third of the rows are still alike."""
     rng = random.Random(6)
@@ -271,7 +319,8 @@ def test_fingerprints_of_a_large_group(spark):
     other = [(i, " ".join(rng.choices(words, k=100))) for i in range(200)]
     near = [(1000 + i, " ".join(base[:i] + [f"edit{i}"] + base[i + 1 :])) for i in range(100)]
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
-    assert fingerprints.lexicon(frame(other + [(5000 + i, other[0][1]) for i in range(150)]), "text") == fingerprints.lexicon(frame(other), "text")
+    slots = lambda rows: fingerprints.lexicon(named := fingerprints.named(frame(rows), "doc_id", "text"), fingerprints.keys_of(named))
+    assert slots(other + [(5000 + i, other[0][1]) for i in range(150)]) == slots(other)
     got = {r["doc_id"]: r["near_next"] for r in fingerprints.fingerprints(frame(other + near)).collect()}
     assert min(got[1000 + i] for i in range(1, 100)) > 0.5
     assert max(got[i] for i in range(1, 200)) < 0.5
