@@ -491,6 +491,35 @@ def test_exact_dedup(spark, docs, none, rows):
     assert sorted([(r["doc_id"], r["text"] or "") for r in kept.collect()], key=str) == sorted({(r[0], t) for r in rows for t in [r[1] or ""] if r[0] == max((x[0] for x in rows if (x[1] or "") == t and x[0] is not None), default=None)}, key=str)
 
 
+def test_exact_dedup_of_hot_groups_and_small_broadcasts(spark, docs, rows, monkeypatch):
+    """Groups sent to their rows, texts joined by shuffles, buckets that hold few digests: the same answer."""
+    monkeypatch.setattr(exact_dedup, "LEAST_HOT", 1)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 2)
+    got = exact_dedup.exact_dedup(docs, shared.fold_of(2) == 0).collect()
+    assert sorted(map(tuple, got), key=str) == _dedup_want(rows)
+    assert spark.catalog.listTables() == [] or not any(t.name.startswith("tessera") for t in spark.catalog.listTables())
+
+
+def test_the_snapshot_is_not_shuffled(spark, docs):
+    """Positives move to the snapshot's buckets; between these and the join there is no exchange."""
+    rows = exact_dedup.digests(docs, "doc_id", "text")
+    snapshot = exact_dedup.take_snapshot(rows.filter("doc_id % 2 = 0"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = exact_dedup.merge(rows.filter("doc_id % 2 = 1"), snapshot)
+        merged.collect()
+        plan = merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.split("\n")
+    scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "Bucketed: true" in x)
+    join = max(i for i in range(scan) if "Join" in lines[i])
+    other = max((i for i in range(join, scan) if "FileScan" in lines[i]), default=join)
+    assert "Exchange" in plan and not any("Exchange" in x for x in lines[other + 1 : scan])
+
+
 def test_exact_dedup_checks_bytes(spark, docs, rows):
     """With a digest that collides, texts still decide."""
     weak = lambda text: F.concat(F.lit("d"), (F.crc32(text.cast("binary")) % 3).cast("string"))
