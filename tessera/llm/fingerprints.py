@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import materialize
 
 #: Shares of the texts that a term of the lexicon is in.
-LOW, HIGH, FAMILY_BITS, SLOTS, RANGE_ROWS, BROADCAST_ROWS = 0.005, 0.1, 6, 64, 1_000_000, 1_000_000
+LOW, HIGH, FAMILY_BITS, SLOTS, RANGE_ROWS, MOST_RANGES, BROADCAST_ROWS = 0.005, 0.1, 6, 64, 20_000, 500_000, 1_000_000
 #: Least number of terms of a fingerprint, if a text has them; octaves above the band.
 LEAST, OCTAVES = 8, 3
 #: First code points of the families' and the levels' signs; hex digits kept of each hash; code points that order rows of one id.
@@ -118,26 +118,52 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(families(a), families(b)))
 
 
-def neighbours(keys: DataFrame) -> DataFrame:
-    """row1, row2, n, next1, next2: each distinct row's next one by descending id, after the last the first.
+def _order(*first: str) -> list:
+    return [*first, F.col("doc_id").desc_nulls_last(), "lead", "row1", "row2"]
 
-    Null ids come last; rows of one id go by the first LEAD code points of their text, then by their
-    name. Only keys are sorted: in ranges of about RANGE_ROWS rows, each of which also gets the first
-    row of the range that follows, from a table of one row a range.
+
+def limits_of(keys: DataFrame) -> DataFrame:
+    """range, doc_id, lead, row1, row2: the first row of each range of distinct rows, by _order.
+
+    A range has about RANGE_ROWS rows, and more only where there would be over MOST_RANGES of them.
+
+    Only keys are sorted and sampled; rows of one id, or without one, are as many ranges as they need.
     """
     spark = keys.sparkSession
-    order = [F.col("doc_id").desc_nulls_last(), "lead", "row1", "row2"]
-    rows = keys.select("doc_id", "lead", "row1", "row2", "n").dropDuplicates(["row1", "row2"])
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // RANGE_ROWS))
-    ranged = materialize(rows.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()).withColumn("ghost", F.lit(0)), "ranged")
-    firsts = ranged.withColumn("no", F.row_number().over(Window.partitionBy("range").orderBy(*order))).filter("no = 1").drop("no")
-    firsts = materialize(firsts, "firsts")
-    line = Window.orderBy("range")
-    before = F.coalesce(F.lag("range").over(line), F.max("range").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    ghosts = firsts.withColumn("ghost", F.lit(1)).withColumn("range", before)
-    following = Window.partitionBy("range").orderBy("ghost", *order)
-    paired = ranged.unionByName(ghosts).withColumns({"next1": F.lead("row1").over(following), "next2": F.lead("row2").over(following)})
-    return materialize(paired.filter("ghost = 0").select("row1", "row2", "n", "next1", "next2"), "pairs")
+    rows = keys.select("doc_id", "lead", "row1", "row2").dropDuplicates(["row1", "row2"])
+    ranges = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // RANGE_ROWS)))
+    ranged = materialize(rows.repartitionByRange(ranges, *_order()).withColumn("range", F.spark_partition_id()), "ranged")
+    firsts = ranged.withColumn("no", F.row_number().over(Window.partitionBy("range").orderBy(*_order()))).filter("no = 1").drop("no")
+    line = Window.orderBy("range")  # one row a range
+    return materialize(firsts.withColumn("range", F.row_number().over(line) - 1), "limits")
+
+
+def with_next(rows: DataFrame, keys: DataFrame, carried: list[str]) -> DataFrame:
+    """`rows` (distinct ones) with next_<c> for each carried column: that of the next row by descending id, after the last that of the first.
+
+    Rows go to ranges in one shuffle, and each range gets a copy of the first row of the range that
+    follows, so no task sees more than a range. A row finds its range by halving the list of limits,
+    of at most MOST_RANGES rows, which is sent to all tasks.
+    """
+    limits = limits_of(keys)
+    ranges = limits.count()
+    if not ranges:
+        return rows.withColumns({f"next_{c}": F.col(c) for c in carried})
+    fields = ["doc_id", "lead", "row1", "row2"]
+    every = limits.agg(F.transform(F.array_sort(F.collect_list(F.struct("range", *fields))), lambda x: F.struct(*[x[c].alias(c) for c in fields])).alias("limits")).withColumn("all", F.lit(0))
+    tie = lambda x: F.struct(x["lead"], x["row1"], x["row2"])
+    own = F.struct(*fields)
+    reached = lambda x: F.when(x["doc_id"].eqNullSafe(own["doc_id"]), tie(x) <= tie(own)).otherwise(own["doc_id"].isNull() | F.coalesce(x["doc_id"] > own["doc_id"], F.lit(False)))
+    steps = F.array(*[F.lit(1 << i) for i in range(ranges.bit_length() - 1, -1, -1)])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(at + step < ranges, F.when(reached(F.get("limits", at + step)), at + step).otherwise(at)).otherwise(at))
+    placed = rows.withColumn("lead", F.substring("text", 1, LEAD)).withColumn("all", F.lit(0)).join(F.broadcast(every), "all").withColumn("range", found)
+    first = F.get("limits", F.col("range"))
+    heads = (first["row1"] == F.col("row1")) & (first["row2"] == F.col("row2"))
+    spots = F.array(F.struct(F.col("range").alias("at"), F.lit(0).alias("ghost")), F.when(heads, F.struct(F.pmod(F.col("range") - 1, F.lit(ranges)).alias("at"), F.lit(1).alias("ghost"))))
+    dealt = placed.withColumn("spot", F.explode(F.array_compact(spots))).select(*rows.columns, "lead", F.col("spot.at").alias("at"), F.col("spot.ghost").alias("ghost"))
+    order = Window.partitionBy("at").orderBy(*_order("ghost"))
+    out = dealt.select(*rows.columns, "ghost", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried])
+    return out.filter("ghost = 0").drop("ghost")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,12 +171,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by as many
     first ones of the next document's text (or all of it), by descending id; the last one's next is
-    the first, so a single document's next is itself. A null text is empty. Rows that repeat an id
-    follow each other (see neighbours), repeats of a whole row too: the next of each but the last is
-    the row itself. No rows give no rows; other columns are not read.
+    the first, so a single document's next is itself. A null text is empty. Null ids come last. Rows
+    that repeat an id follow each other by the first LEAD code points of their text, then by their
+    name; of repeats of a whole row, the next of each but the last is the row itself. No rows give no
+    rows; other columns are not read.
 
-    Texts are read three times: for their keys, for the lexicon, and for the parts. They are shuffled
-    once, by their row's name, and once more the part of each that its neighbour needs.
+    Texts are read three times, for their keys, for the lexicon, and for the parts, and shuffled once.
     """
     rows = named(docs, id_col, text_col)
     keys = keys_of(rows)
@@ -158,17 +184,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = not repeats.isEmpty()
     rows = rows.dropDuplicates(["row1", "row2"]) if repeated else rows
     slots = lexicon(rows, keys)
-    told = with_parts(rows, "text", "parts", slots)
-    half = lambda n: F.floor(n / 2).cast("int")
-    given = neighbours(keys).select(F.col("row1").alias("to1"), F.col("row2").alias("to2"), half(F.col("n")).alias("room"), F.col("next1").alias("row1"), F.col("next2").alias("row2"))
-    lent = told.join(given, ["row1", "row2"]).select(F.col("to1").alias("row1"), F.col("to2").alias("row2"), F.substring("text", F.lit(1), F.col("room")).alias("borrowed"), F.col("parts").alias("next_parts"))
-    paired = told.join(lent, ["row1", "row2"])
+    paired = with_next(with_parts(rows, "text", "parts", slots), keys, ["text", "parts"])
     if repeated:
         paired = paired.join(repeats, ["row1", "row2"], "left").withColumn("turn", F.explode(F.sequence(1 - F.coalesce("copies", F.lit(1)), F.lit(0).cast("long"))))
-        last = F.col("turn") == 0
-        paired = paired.withColumns({"borrowed": F.when(last, F.col("borrowed")).otherwise(F.substring("text", F.lit(1), half(F.char_length("text")))), "next_parts": F.when(last, F.col("next_parts")).otherwise(F.col("parts"))})
+        paired = paired.withColumns({f"next_{c}": F.when(F.col("turn") == 0, F.col(f"next_{c}")).otherwise(F.col(c)) for c in ("text", "parts")})
     size = F.char_length("text")
-    edited = F.concat(F.substring("text", F.lit(1), size - half(size)), "borrowed")
+    half = F.floor(size / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), size - half), F.substring("next_text", F.lit(1), half))
     out = with_parts(paired.select("doc_id", size.cast("long").alias("n_chars"), "parts", "next_parts", edited.alias("edited")), "edited", "edited_parts", slots)
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.array_join("parts", "").alias("fingerprint"), F.array_join("edited_parts", "").alias("edited_fingerprint"),
