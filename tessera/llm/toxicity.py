@@ -10,8 +10,10 @@
 3. Classifier. A logistic regression on the presence of hashed terms is trained on the posterior
    labels. It alone scores texts; labels, language, source and id are no inputs.
 
-Training reads at most TOXIC_ROWS + CLEAN_ROWS labelled rows, picked by a hash of the id; scoring is
-a narrow map over all rows.
+Training reads at most TOXIC_ROWS + CLEAN_ROWS labelled rows, picked by a hash of the id. Where no
+labels tell toxic from clean texts, it is the same model of the seed voters alone, on as many texts
+picked alike. Scores follow the mix of the picked rows, so the line at 0.5 weighs a missed toxic text
+like a clean one that goes. Scoring is a narrow map over all rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from tessera.llm.shared import LETTERS, mix, ranges, text_buffer, token_hashes
 TOXIC_ROWS, CLEAN_ROWS, PART_ROWS = 2000, 4000, 50
 PREFIXES, SELECTED, GROUPS, MIN_ROWS = (4, 5, 6, 7, 8), 20_000, 6, 4
 #: Log odds of one vote at most; least evidence (nats) and log ratio of a found term.
-CERTAIN, EVIDENCE, LIFT, SKETCH = 3.0, 14.0, 3.5, 12
+CERTAIN, EVIDENCE, LIFT, SKETCH = 3.0, 10.0, 3.5, 12
 BITS = 20
 
 # Insults in four languages, the seed lexicon.
@@ -199,7 +201,7 @@ def _discounts(table: np.ndarray, post: np.ndarray | None) -> np.ndarray:
     return 1 / (1 + (corr**2).sum(1))
 
 
-def label_model(table: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def label_model(table: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of the toxic class, and each voter's discount for its correlations; no vote counts more than CERTAIN.
 
     A voter's three outcomes have a distribution under either class. The start is the discounted share
@@ -215,7 +217,7 @@ def label_model(table: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.n
         for _ in range(rounds):
             both = np.stack([1 - post, post])
             rate = (np.einsum("cn,nvo->cvo", both, hot) + 2 * usual) / (both.sum(1)[:, None, None] + 2)
-            share = min(max(post.mean(), 0.02), 0.98) if prior <= 0 else prior
+            share = min(max(post.mean(), 0.02), 0.98)
             gain = (np.clip(np.log(rate[1]) - np.log(rate[0]), -CERTAIN, CERTAIN) * keep[:, None])[None] * hot
             fresh = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + gain.sum((1, 2)), -30, 30)))
             moved, post = np.abs(fresh - post).max(), fresh
@@ -226,15 +228,14 @@ def label_model(table: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.n
     return post, keep
 
 
-def train(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
-    """The classifier from labelled texts; with none, the seed lexicon decides."""
+def train(texts: list[str], toxic: np.ndarray | None) -> Model:
+    """The classifier from labelled texts; without labels of both classes (or toxic=None), from the votes of the seed words' voters."""
     seeds = seed_terms()
-    if not len(texts) or toxic.all() or not toxic.any():
-        return Model.of(seeds, np.full(len(seeds), 6.0), -3.0)
-    own = without_copies(texts)
-    texts, toxic = [texts[i] for i in own], toxic[own]
-    if toxic.all() or not toxic.any():
-        return Model.of(seeds, np.full(len(seeds), 6.0), -3.0)
+    if toxic is not None:
+        own = without_copies(texts)
+        texts, toxic = [texts[i] for i in own], toxic[own]
+    if toxic is None or toxic.all() or not toxic.any():
+        return _unlabelled(texts, seeds)
     # Terms of a few toxic texts or more, then how many texts of either kind have them, then where the chosen ones are: in parts.
     known, kinds = _frequent([x for x, t in zip(texts, toxic, strict=True) if t])
     new = ~np.isin(seeds, known)
@@ -249,12 +250,22 @@ def train(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     term, kind = every.terms[chosen], every.weights[chosen].astype(np.int64)
     # Voters: the seed list, and the found terms of each kind in GROUPS random groups.
     voter = np.where(np.isin(term, seeds), 0, 1 + kind * GROUPS + (mix(term) % np.uint64(GROUPS)).astype(np.int64))
+    return _voted(texts, term, voter, 1 + (1 + len(PREFIXES)) * GROUPS)
+
+
+def _unlabelled(texts: list[str], seeds: np.ndarray) -> Model:
+    """Seed words in GROUPS voters. The words themselves, and as many empty texts, are among the texts: they stand for what the texts may lack."""
+    own = [texts[i] for i in without_copies(texts)]
+    return _voted([*own, *SEED, *[""] * len(SEED)], seeds, (mix(seeds) % np.uint64(GROUPS)).astype(np.int64), GROUPS)
+
+
+def _voted(texts: list[str], term: np.ndarray, voter: np.ndarray, voters: int) -> Model:
+    """The classifier that learns what the label model makes of the voters' votes."""
     model = Model.of(term, voter.astype(float), 0)
     found = [(*model.found(h, o), w) for h, _, o, w in _terms(texts)]
     text, at, words = (np.concatenate([f[i] for f in found]) for i in range(3))
     upper = np.concatenate([shouted(texts[i : i + PART_ROWS]) for i in range(0, len(texts), PART_ROWS)])
-    table = votes(text, model.weights.astype(np.int64), at, len(texts), 1 + (1 + len(PREFIXES)) * GROUPS, words, upper)
-    post, _ = label_model(table, 0)
+    post, _ = label_model(votes(text, model.weights.astype(np.int64), at, len(texts), voters, words, upper))
     weights, bias = _regression(text, at, len(model.terms), post)
     return Model.of(model.terms, weights, bias)
 
@@ -276,17 +287,22 @@ def fit(docs: DataFrame, labels: DataFrame, in_training: Column, id_col: str = "
     """Learns from labelled rows for which `in_training` (an expression of `id_col`) holds.
 
     Rows with a null text or label teach nothing. An id with several texts or labels counts for each.
+    Picks go by a hash of the id, then by id, text and label, so they don't depend on the rows' order:
+    TOXIC_ROWS and CLEAN_ROWS ids, and as many rows of them in all.
     """
+    most = TOXIC_ROWS + CLEAN_ROWS
     known = labels.filter(in_training & F.col("toxic").isNotNull()).select(F.col(id_col).alias("__tessera_id"), (F.col("toxic") == 1).alias("__tessera_toxic"))
-    total = {r["__tessera_toxic"]: r["count"] for r in known.groupBy("__tessera_toxic").count().collect()}
     picks = [known.filter(F.col("__tessera_toxic") == kind).orderBy(F.xxhash64("__tessera_id"), "__tessera_id").limit(rows) for kind, rows in ((True, TOXIC_ROWS), (False, CLEAN_ROWS))]
     chosen = picks[0].unionByName(picks[1])
-    rows = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("__tessera_id")).select(F.col(text_col).alias("text"), "__tessera_toxic").limit(2 * (TOXIC_ROWS + CLEAN_ROWS)).toArrow()
-    prior = total.get(True, 0) / max(1, sum(total.values()))
+    texts = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("__tessera_id"))
+    rows = texts.select("__tessera_id", F.col(text_col).alias("text"), "__tessera_toxic").orderBy(F.xxhash64("__tessera_id"), "__tessera_id", F.xxhash64("text"), "__tessera_toxic").limit(most).toArrow()
     texts, toxic = rows.column("text").to_pylist(), np.array(rows.column("__tessera_toxic").to_pylist(), bool)
     del rows
+    if not len(texts) or toxic.all() or not toxic.any():
+        own = docs.filter(in_training & F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("at"), F.col(text_col).alias("text"))
+        return train(own.orderBy("at", F.xxhash64("text")).limit(most).toArrow().column("text").to_pylist(), None)
     order = np.argsort(np.array([hash_text(x) for x in texts], np.uint64), kind="stable")
-    return train([texts[i] for i in order], toxic[order], prior)
+    return train([texts[i] for i in order], toxic[order])
 
 
 def hash_text(text: str) -> int:
@@ -296,7 +312,10 @@ def hash_text(text: str) -> int:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1), predicted (1 if score >= 0.5) for each row; null texts are scored as empty ones."""
+    """doc_id, score (0 to 1), predicted (1 if score >= 0.5) for each row, repeated rows and null ids included.
+
+    Null texts are scored as empty ones, equal texts alike. No rows give no rows; other columns are not read.
+    """
 
     def run(batches):
         for batch in batches:
@@ -307,7 +326,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that aren't predicted toxic, with all their columns; a narrow filter."""
+    """The rows of `docs` that aren't predicted toxic, with all their columns; a narrow filter.
+
+    A null text is an empty one. Repeated rows stay or go together; no rows give no rows.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):
