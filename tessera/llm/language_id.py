@@ -6,7 +6,8 @@ text's n-grams, and a fitted slope and offset turn the mean into a margin. Decod
 codeword, the logistic losses of the margins, weighted by how well each bit does on training rows;
 the least loss wins, and a small lead over the second is flagged.
 
-Training reads at most TRAIN_ROWS rows, picked by a hash of the id; prediction is a narrow map.
+Training reads at most TRAIN_ROWS rows, picked by a hash of the id, in one scan of ids and languages
+and one of texts, however many languages there are; prediction is a narrow map.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import LETTERS, LOWER, text_buffer
+from tessera.llm.shared import LETTERS, LOWER, materialize, text_buffer
 
 #: Bound of the training sample, shared equally by the languages.
 TRAIN_ROWS = 4000
@@ -141,24 +142,35 @@ def train(texts: list[str], langs: list[str]) -> Model | None:
 
 
 def fit(docs: DataFrame, in_training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Learns from rows with a text and a language for which `in_training` holds; None if there are none."""
-    known = docs.filter(in_training & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    """Learns from rows with a text and a language for which `in_training` holds; None if there are none.
+
+    Of each language, the ids with the least hashes are picked first (as many as all languages may
+    have together, from each task, without reading texts), then the rows that have a text among them,
+    as many as a language may have: by the hash, then by text, so the rows' order doesn't matter.
+    """
+    named = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), in_training.alias("__known"))
+    place = Window.partitionBy("__lang").orderBy(F.xxhash64("__id", F.lit(7)), "__id")
+    near = named.filter("__known AND __lang IS NOT NULL").select("__id", "__lang").withColumn("no", F.row_number().over(place)).filter(F.col("no") <= TRAIN_ROWS)
+    picks = materialize(near, "picks")
     # One row for each language; languages are few (a documented limit of the driver's memory).
-    found = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
-    if not found:
+    languages = picks.select("__lang").distinct().count()
+    if not languages:
         return None
-    each = max(20, TRAIN_ROWS // len(found))
-    picks = None
-    for lang in sorted(found):
-        share = known.filter((F.col(lang_col) == lang) & (F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(1 << 20)) <= int((1 << 20) * min(1.0, 2 * each / found[lang]) + 2)))
-        part = share.select(text_col, lang_col, id_col).orderBy(F.xxhash64(id_col, F.lit(7)), text_col).limit(each)
-        picks = part if picks is None else picks.unionByName(part)
-    rows = picks.toArrow()
+    each = max(20, TRAIN_ROWS // languages)
+    chosen = picks.filter(F.col("no") <= 2 * each).select(F.col("__id").alias("__pick"), F.col("__lang").alias("__of")).distinct()
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
+    found = texts.join(F.broadcast(chosen), F.col("__id").eqNullSafe(F.col("__pick")) & (F.col("__lang") == F.col("__of")))
+    last = Window.partitionBy("__lang").orderBy(F.xxhash64("__id", F.lit(7)), "__id", F.xxhash64("__text"))
+    rows = found.withColumn("no", F.row_number().over(last)).filter(F.col("no") <= each).select("__text", "__lang", "no").orderBy("__lang", "no").toArrow()
     return train(rows.column(0).to_pylist(), rows.column(1).to_pylist())
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous for each row; `und`, score 0, where the text is null or has no letter, or nothing was learned."""
+    """doc_id, lang_pred, score, ambiguous for each row; `und`, score 0, where the text is null or has no letter, or nothing was learned.
+
+    Repeated rows, null ids, very long texts and clashing names are like any others; equal texts have
+    equal answers, and of languages that score the same the first by name is chosen. No rows give no rows.
+    """
 
     def run(batches):
         for batch in batches:

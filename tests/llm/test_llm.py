@@ -198,13 +198,55 @@ def test_toxicity(spark, docs, none):
     assert lone.scores(pa.array(["you idiot", "hello", None, ""])).round().tolist() == [1, 0, 0, 0]
 
 
+def test_toxicity_without_labels_of_both_kinds(spark, none):
+    """The label model of the seed voters: it finds what stands beside no label."""
+    rng = random.Random(2)
+    calm = [f"calm{i}" for i in range(300)]
+    texts = [(i, " ".join(rng.choices(calm, k=30) + (rng.choices(["idiot", "loser", "scum"], k=3) if i % 5 == 0 else []))) for i in range(300)] + [(7, None), (None, "an idiot")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for labels in ([], [(i, 0) for i in range(50)], [(0, 1), (5, 1)], [(0, None)]):
+        model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+        got = [(r[0], r[2]) for r in toxicity.score(docs, model).collect() if r[0] not in (None, 7)]
+        assert all(p == int(i % 5 == 0) for i, p in got), labels
+    assert toxicity.score(none, model).count() == 0
+
+
+def test_label_model_agrees_with_enumeration():
+    """Posteriors by the definition: for each row, both classes' probabilities of the votes, from rates that one more round of EM leaves as they are."""
+    rng = np.random.default_rng(3)
+    y = rng.random(400) < 0.3
+    table = np.stack([np.where(rng.random(400) < 0.7, np.where(rng.random(400) < a, y, ~y), -1) for a in (0.9, 0.85, 0.8, 0.6)], 1).astype(np.int8)
+    post, keep = toxicity.label_model(table, rounds=3000)
+    usual = [[(table[:, v] == o).mean() + 1e-6 for o in (-1, 0, 1)] for v in range(4)]
+    rate = [[[(sum(p if c else 1 - p for p, x in zip(post, table[:, v], strict=True) if x == o) + 2 * usual[v][k]) / (sum(post if c else 1 - post) + 2) for k, o in enumerate((-1, 0, 1))] for v in range(4)] for c in (0, 1)]
+    for i in range(0, 400, 7):
+        odds = post.mean() / (1 - post.mean())
+        for v in range(4):
+            o = table[i, v] + 1
+            odds *= np.exp(np.clip(np.log(rate[1][v][o] / rate[0][v][o]), -toxicity.CERTAIN, toxicity.CERTAIN) * keep[v])
+        assert post[i] == pytest.approx(odds / (1 + odds), abs=2e-3)
+
+
+def test_scores_are_the_sum_of_the_terms_found(spark):
+    """The query's score against its definition, word by word."""
+    words = ["idiot", "loser", "calm", "Idiotic", "losers", "été"]
+    known = sorted({int(h) for h in toxicity.features(pa.array(["idiot", "calm"]))[0]})
+    weight = dict(zip(known, np.linspace(-1, 2, len(known)), strict=True))
+    model = toxicity.Model.of(np.array(known, np.uint64), np.array([weight[k] for k in known]), -0.5)
+    texts = ["", None, "idiot", "idiot idiot", "a calm loser", " ".join(words * 3), "calm " * 50_000 + "idiot"]
+    own = lambda t: {int(h) for w in (t or "").split() for h in toxicity.features(pa.array([w]))[0]}
+    want = [1 / (1 + np.exp(0.5 - sum(weight.get(h, 0) for h in (own(t) if len(t or "") < 1000 else own("calm idiot"))))) for t in texts]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r["score"] for r in got] == pytest.approx(want)
+
+
 def test_label_model_discounts_repeated_voters():
     rng = np.random.default_rng(0)
     y = rng.random(3000) < 0.3
     good = [np.where(rng.random(3000) < 0.9, y, ~y) for _ in range(3)]
     bad = np.where(rng.random(3000) < 0.55, y, ~y)
     table = np.stack([*good, *[bad] * 3], 1).astype(np.int8)
-    post, keep = toxicity.label_model(table, 0)
+    post, keep = toxicity.label_model(table)
     assert keep[3:].max() < keep[:3].min() and ((post > 0.5) == y).mean() > 0.93
 
 
@@ -423,6 +465,36 @@ def test_language_id(spark, docs, none):
     assert {r[1] for r in language_id.predict(table.filter("lang = 'aa' AND text IS NOT NULL"), single).collect()} == {"aa"}
 
 
+def test_training_rows_do_not_depend_on_order_or_partitions(spark):
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 200) if i % 9 else None, None if i % 11 == 0 else "".join(rng.choices("abcdefg ", k=30)), f"l{i % 3}") for i in range(500)]
+    fits = [language_id.fit(spark.createDataFrame(x, "doc_id long, text string, lang string").repartition(k), F.lit(True)) for x, k in ((rows, 1), (rows[::-1], 5))]
+    assert (fits[0].weights == fits[1].weights).all() and (fits[0].slope == fits[1].slope).all()
+
+
+def test_decoding_agrees_with_its_definition():
+    """Means of a bit's weights over a text's n-grams, margins, and the codeword with the least weighted loss."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(alphabet, k=60)) for alphabet in ("abc de", "fgh ij", "aéü bx", "klmno ") for _ in range(40)]
+    model = language_id.train(texts, [lang for lang in "abcd" for _ in range(40)])
+    size = 1 << language_id.BUCKET_BITS
+    for text in [*texts[::13], "abc fgh", "é", "x1y", "a" * 300_000]:
+        raw = bytes(b + 32 if 65 <= b < 91 else b if b >= 128 or chr(b).isalpha() else 32 for b in text.encode())
+        total, n = np.zeros(model.code.shape[1]), 0
+        for k, order in enumerate(language_id.ORDERS) if len(raw) < 1000 else ():
+            for i in range(len(raw) - order + 1):
+                code = int.from_bytes(raw[i : i + order], "big")
+                if raw[i : i + order] != b" " * order:
+                    total, n = total + model.weights[(code * 0x9E3779B97F4A7C15 % 2**64 >> 64 - language_id.BUCKET_BITS) + k * size], n + 1
+        means = model.means(*shared.text_buffer(pa.array([text])))
+        if len(raw) < 1000:
+            assert means[0] == pytest.approx(total / max(n, 1), abs=1e-5)
+        margin = np.clip(means[0] * model.slope + model.offset, -12, 12)
+        loss = [sum(t * np.log1p(np.exp(-m * c)) for t, m, c in zip(model.trust, margin, word, strict=True)) for word in model.code]
+        at, score, ambiguous = model.decode(means)
+        assert at[0] == int(np.argmin(loss)) and score[0] == pytest.approx(np.exp(-min(loss)) / sum(np.exp(-x) for x in loss)) and ambiguous[0] == (sorted(loss)[1] - min(loss) < language_id.LEAD)
+
+
 def test_codewords_are_apart():
     for n in (2, 4, 7, 9, 30):
         code = language_id.codewords(n)
