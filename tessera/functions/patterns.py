@@ -95,6 +95,7 @@ DISTRACTOR = r"(?:\bcodigo|\barquivo(?:\s+interno)?(?:\s+denominado)?|\bprotocol
 LAW_CUES = ["norma", "legislacao", "dispositivo", "artigo correspondente", "lei que"]
 
 NUMBER_TOKEN = r"(?<!\w)\d(?:[\d\s./\-–—º°]*\d)?"
+NUMBER_OPEN = r"(?U)\d[\d\s./\-–—º°]*\z"
 NUMBER_BEFORE, NUMBER_AFTER, NUMBER_LIMIT, TST_NUMBER_LIMIT, NEAR_BEST = 140, 80, 400, 5000, 10
 VARIANT_CHUNK = r"(?<!\w)\d[\d\s./\-olsg]*"
 VARIANT_STATE = rf"(?i)(?:[/\-()]|\s)+(?:{STATES})\)?\s*\z"

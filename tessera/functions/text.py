@@ -48,7 +48,7 @@ def matching_view(text: Column) -> Column:
 
 @cache
 def folded_map() -> tuple[str, str, dict[str, str]]:
-    """As view_map, for the short view: single foldings, what is deleted (its tail has no target), and expansions of letters."""
+    """As view_map, for the short view: single foldings, what is deleted (its tail has no target), and all expansions to several characters."""
     pairs, gone, longer = {}, [], {}
     dashes = {"–": "-", "—": "-", "−": "-", "º": "o", "°": "o"}
     for code in range(sys.maxunicode + 1):
@@ -62,22 +62,39 @@ def folded_map() -> tuple[str, str, dict[str, str]]:
             pairs[c] = to
         elif not to:
             gone.append(c)
-        elif code < 0x250 or 0xFB00 <= code <= 0xFB06 or c in "ẞ№…™℡":
+        else:
             longer[c] = to
     return "".join(pairs) + "".join(gone), "".join(pairs.values()), longer
 
 
-def short_view(text: Column) -> Column:
-    """Accents, case and white space folded and trimmed; not of the text's length. Latin expansions (ß, ligatures) only."""
-    source, target, longer = folded_map()
-    some = F.when(F.regexp_like(text, F.lit("[" + "".join(longer) + "]")), _replaced(text, longer)).otherwise(text)
-    return F.trim(F.regexp_replace(F.translate(some, source, target), r"(?U)\s+", " "))
+@cache
+def expanding() -> str:
+    """A character class of what folds to several characters, in ranges."""
+    codes = {ord(c) for c in folded_map()[2]}
+    starts, ends = sorted(c for c in codes if c - 1 not in codes), sorted(c for c in codes if c + 1 not in codes)
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
+def _expansion(c: Column) -> Column:
+    """What a character of expanding() folds to: a Hangul syllable's parts by arithmetic, others from a list."""
+    longer = {k: v for k, v in folded_map()[2].items() if not 0xAC00 <= ord(k) < 0xD7A4}
+    letters = lambda first, n: F.lit("".join(chr(first + i) for i in range(n)))
+    at = F.ascii(c) - 0xAC00
+    syllable = F.concat(F.substring(letters(0x1100, 19), F.floor(at / 588).cast("int") + 1, F.lit(1)), F.substring(letters(0x1161, 21), F.floor(at % 588 / 28).cast("int") + 1, F.lit(1)), F.when(at % 28 > 0, F.substring(letters(0x11A8, 27), (at % 28).cast("int"), F.lit(1))).otherwise(""))
+    listed = F.split_part(F.lit("\x01".join(longer.values())), F.lit("\x01"), F.instr(F.lit("".join(longer)), c))
+    return F.when(at.between(0, 11171), syllable).otherwise(listed)
 
 
-def _replaced(text: Column, longer: dict[str, str]) -> Column:
-    for c, to in longer.items():
-        text = F.replace(text, F.lit(c), F.lit(to))
-    return text
+def short_view(text: Column) -> Column:
+    """Accents, case and white space folded and trimmed; not of the text's length.
+
+    Characters that fold to several (ligatures, letters like ß, syllables) are replaced one kind at a
+    time, in the few texts that have any.
+    """
+    source, target, _ = folded_map()
+    kinds = F.array_distinct(F.regexp_extract_all(text, F.lit(expanding()), F.lit(0)))
+    some = F.when(text.rlike(expanding()), F.aggregate(kinds, text, lambda acc, c: F.replace(acc, c, _expansion(c)))).otherwise(text)
+    return F.trim(F.regexp_replace(F.translate(some, source, target), r"(?U)\s+", " "))
 
 
 def digits_key(value: Column) -> Column:

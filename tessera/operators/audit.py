@@ -71,8 +71,15 @@ def inconsistent_levels(gold: DataFrame) -> DataFrame:
 def sliced_scores(solution: DataFrame, submissions: DataFrame, families: DataFrame) -> DataFrame:
     """mode, family, score_final for every mode of `submissions` (mode, documento_id, citacoes), each family, and `overall`.
 
-    The documents are matched once for all slices; a slice only adds up events again.
+    The documents are matched once for all slices; a slice only adds up events again. A document of a
+    family that the solution lacks is an error, as is a submission without a row for a document.
     """
+    lacking = families.select("documento_id").distinct().join(solution, "documento_id", "left_anti").select("documento_id").take(3)
+    if lacking:
+        raise ValueError(f"the solution lacks documents of families: {[r[0] for r in lacking]}")
+    told = per_mode(solution.select("documento_id"), submissions).join(submissions, ["mode", "documento_id"], "left_anti").take(3)
+    if told:
+        raise S.SubmissionError(f"no row for {[(r['mode'], r['documento_id']) for r in told]}")
     golds = per_mode(S.parse_solution(solution).drop("error"), submissions)
     preds = S.parse_submission(submissions, ("mode", "documento_id")).drop("error")
     rows = S.events(S.documents(golds, preds, ["mode", "documento_id"]), ["mode", "documento_id"])
@@ -92,28 +99,65 @@ def file_hash(content: str = "content"):
 
 
 def corpus_hash(files: DataFrame) -> DataFrame:
-    """sha256 over all files (name, content as binary) by name: 8-byte lengths before each name and content.
+    """corpus_sha256 over all files (name, content as binary) by name: 8-byte lengths before each name and content.
 
-    A digest over a whole corpus is one sequence by definition; the rows gathered are files of an
-    audit's corpus, and their contents pass through one task.
+    A digest over a whole corpus is one sequence by definition. The files are sorted by Spark, which
+    spills, and one task reads them in order and hashes them as they come: it holds a batch at a time.
     """
-    size = lambda c: F.unhex(F.lpad(F.hex(F.octet_length(c).cast("long")), 16, "0"))
-    name = F.col("name").cast("binary")
-    block = F.concat(size(name), name, size(F.col("content")), F.col("content"))
-    ordered = F.array_sort(F.collect_list(F.struct("name", block.alias("block"))))
-    return files.groupBy().agg(ordered.alias("rows")).select(F.sha2(F.aggregate("rows", F.lit(bytearray()), lambda acc, x: F.concat(acc, x["block"])), 256).alias("corpus_sha256"))
 
+    def run(batches):
+        import hashlib
 
-def report(gold: DataFrame, solution: DataFrame, submissions: DataFrame, families: DataFrame, baseline: str, other: str) -> dict[str, list[dict]]:
-    """The whole audit: scores by slice, summaries, support, exact spans, changed documents; small tables, each in order."""
+        import pyarrow as pa
+
+        digest = hashlib.sha256()
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                for value in (name.as_buffer(), content.as_buffer()):
+                    digest.update(len(value).to_bytes(8, "big"))
+                    digest.update(value)
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["corpus_sha256"])
+
+    ordered = files.select(F.col("name").cast("binary").alias("name"), F.coalesce("content", F.lit(bytearray())).alias("content"))
+    return ordered.repartition(1).sortWithinPartitions("name").mapInArrow(run, "corpus_sha256 string")
+
+
+def provenance(texts: DataFrame, **files: str) -> dict[str, str]:
+    """Hashes of a corpus (documento_id, texto; names end in .txt) and of the files named, and the number of documents."""
+    import hashlib
+
+    told = {"document_count": texts.count(), "text_corpus_sha256": corpus_hash(texts.select(F.concat("documento_id", F.lit(".txt")).alias("name"), F.encode("texto", "utf-8").alias("content"))).first()[0]}
+    for name, path in sorted(files.items()):
+        digest = hashlib.sha256()
+        with open(path, "rb") as data:
+            while block := data.read(1 << 20):
+                digest.update(block)
+        told[f"{name}_sha256"] = digest.hexdigest()
+    return told
+
+
+def report(gold: DataFrame, solution: DataFrame, submissions: DataFrame, families: DataFrame, baseline: str, other: str, hashes: dict | None = None) -> dict:
+    """The whole audit: scores by slice, summaries, support by level and family, exact spans, changed documents, the two modes' difference, provenance.
+
+    Raises where families aren't a partition of the documents, or a document has several levels.
+    """
     faults = partition_faults(families, solution).take(3)
     if faults:
         raise ValueError(f"invalid partition into families: {[tuple(r) for r in faults]}")
+    odd = inconsistent_levels(gold).take(3)
+    if odd:
+        raise S.GoldError(f"documents without just one level: {[r['documento_id'] for r in odd]}")
     scores = sliced_scores(solution, submissions, families)
     spans = per_mode(gold.select("documento_id", F.col("inicio").alias("start"), F.col("fim").alias("end")), submissions)
     of = lambda m: submissions.filter(F.col("mode") == m)
     pieces = {
         "scores": scores, "summaries": family_summary(scores.filter("family <> 'overall'"), ["mode"]), "support": support(gold, ["nivel"]),
+        "family_support": support(gold.join(families.select("documento_id", "family"), "documento_id"), ["family"]), "families": families.select("family", "documento_id"),
         "exact_spans": exact_spans(spans, S.parse_submission(submissions, ("mode", "documento_id")), ["mode"]), "changed_documents": changed(of(baseline), of(other)),
     }
-    return {name: [r.asDict() for r in df.orderBy(*df.columns).collect()] for name, df in pieces.items()}
+    told = {name: [r.asDict() for r in df.orderBy(*df.columns).collect()] for name, df in pieces.items()}
+    final = {r["mode"]: r["score_final"] for r in told["scores"] if r["family"] == "overall"}
+    worst = {r["mode"]: r["worst_family_score"] for r in told["summaries"]}
+    delta = final[other] - final[baseline]
+    told["headline"] = {"score": final, "worst_family_score": worst, "score_delta": delta, "changed_document_count": len(told["changed_documents"]), "metric_sensitive": abs(delta) > 1e-12}
+    return told | {"claim_status": "post_hoc_diagnostic_only", "estimated_unseen_score": None, "provenance": hashes or {}}

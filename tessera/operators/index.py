@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import patterns as P
 from tessera.functions import text as T
 
-#: Code points read past the last position at which a number may start.
+#: Code points read past the last position at which a number may start; all of the text if a number may go on there.
 SLACK = 1000
 
 
@@ -22,8 +22,9 @@ def number_hits(canonical: DataFrame) -> DataFrame:
     limit = F.when(F.col("tribunal") == "TST", P.TST_NUMBER_LIMIT).otherwise(P.NUMBER_LIMIT)
     rows = canonical.filter((F.col("natureza") == "acordao") & F.col("texto").isNotNull()).select(
         F.col("id").cast("long").alias("id"), court.alias("tribunal"), F.col("ano").cast("int").alias("year"), F.coalesce(F.col("relator").cast("string"), F.lit("")).alias("reporter"),
-        limit.alias("limit"), F.substring("texto", F.lit(1), limit + SLACK).alias("head"),
+        limit.alias("limit"), F.substring("texto", F.lit(1), limit + SLACK).alias("head"), "texto",
     )
+    rows = rows.withColumn("head", F.when(F.col("head").rlike(P.NUMBER_OPEN), F.col("texto")).otherwise(F.col("head"))).drop("texto")
     spans = F.filter(T.find_spans(F.col("head"), "(?U)" + P.NUMBER_TOKEN), lambda s: s["start"] <= F.col("limit"))
     tokens = rows.withColumn("span", F.explode(spans))
     start, end = F.col("span.start"), F.col("span.end")
@@ -47,8 +48,10 @@ def _optional(canonical: DataFrame, names: tuple[str, str]) -> Column:
 def provisions(canonical: DataFrame) -> DataFrame:
     """id, article, statute, recovered for every provision; null where unknown."""
     rows = canonical.filter("natureza = 'dispositivo'").select(F.col("id").cast("long").alias("id"), F.coalesce("texto", F.lit("")).alias("texto"), _optional(canonical, ("diploma", "fonte_normativa")).alias("said"))
-    rows = rows.withColumn("view", T.short_view(F.col("texto"))).withColumn("article", F.nullif(T.article(T.short_view(F.substring("texto", 1, 200))), F.lit("")))
-    declared = F.when(F.coalesce("said", F.lit("")) != "", T.statute(T.short_view(F.col("said"))))
+    # Views are columns of their own, so that each is computed, and stands in the plan, once.
+    rows = rows.withColumns({"view": T.short_view(F.col("texto")), "head": T.short_view(F.substring("texto", 1, 200)), "said_view": T.short_view(F.col("said"))})
+    rows = rows.withColumn("article", F.nullif(T.article(F.col("head")), F.lit("")))
+    declared = F.when(F.coalesce("said", F.lit("")) != "", T.statute(F.col("said_view")))
     wording = T.only(F.array_compact(F.array(*[F.when((F.col("article") == a) & F.col("view").rlike(p), F.lit(s)) for a, s, p in P.PROVISION_WORDING])))
     rows = rows.withColumn("declared", declared).withColumn("worded", F.when(F.col("declared").isNull(), wording))
     return rows.select("id", "article", F.coalesce("declared", "worded").alias("statute"), F.col("worded").isNotNull().alias("recovered"))
@@ -57,7 +60,7 @@ def provisions(canonical: DataFrame) -> DataFrame:
 def summaries(canonical: DataFrame) -> DataFrame:
     """id, court, number, recovered for every summary; null where unknown."""
     rows = canonical.filter("natureza = 'sumula'").select(F.col("id").cast("long").alias("id"), F.coalesce("texto", F.lit("")).alias("texto"), F.coalesce("tribunal", F.lit("")).alias("tribunal"), _optional(canonical, ("numero", "numero_sumula")).alias("said"))
-    rows = rows.withColumn("view", T.short_view(F.col("texto"))).withColumn("court", F.nullif(T.short_view(F.col("tribunal")), F.lit("")))
+    rows = rows.withColumns({"view": T.short_view(F.col("texto")), "court_view": T.short_view(F.col("tribunal"))}).withColumn("court", F.nullif("court_view", F.lit("")))
     said = F.nullif(T.digits_key(F.coalesce("said", F.lit(""))), F.lit(""))
     told = F.nullif(T.digits_key(F.regexp_extract("view", "(?U)" + P.SUMMARY_NUMBER, 1)), F.lit(""))
     wording = T.only(F.array_compact(F.array(*[F.when((F.col("court") == c) & F.col("view").rlike(p), F.lit(n)) for c, n, p in P.SUMMARY_WORDING])))
@@ -65,8 +68,13 @@ def summaries(canonical: DataFrame) -> DataFrame:
     return rows.select("id", "court", F.coalesce("known", "worded").alias("number"), F.col("worded").isNotNull().alias("recovered"))
 
 
+def _known(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows that have all keys; kept(), since a plain filter would put their long expressions into the plan again and again."""
+    return T.kept(rows, F.concat(*keys).isNotNull())
+
+
 def _collected(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return _known(rows, *keys).groupBy(*keys).agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
 def law_index(canonical: DataFrame) -> DataFrame:
@@ -79,10 +87,24 @@ def summary_index(canonical: DataFrame) -> DataFrame:
     return _collected(summaries(canonical), "court", "number")
 
 
+def _ends(rows: DataFrame, *keys: str) -> DataFrame:
+    return _known(rows, *keys).groupBy(*keys).agg(F.min("id").alias("least"), F.max("id").alias("most"))
+
+
+def law_ends(canonical: DataFrame) -> DataFrame:
+    """(statute, article) → the least and the largest id: all that resolution needs, of one size however many collide."""
+    return _ends(provisions(canonical), "statute", "article")
+
+
+def summary_ends(canonical: DataFrame) -> DataFrame:
+    """(court, number) → the least and the largest id."""
+    return _ends(summaries(canonical), "court", "number")
+
+
 def recoveries(canonical: DataFrame) -> DataFrame:
     """Audit: fields recovered from wording."""
-    law = provisions(canonical).filter("recovered").select("id", F.lit("dispositivo").alias("nature"), F.lit("diploma").alias("field"), F.col("statute").alias("value"))
-    summary = summaries(canonical).filter("recovered").select("id", F.lit("sumula").alias("nature"), F.lit("numero").alias("field"), F.col("number").alias("value"))
+    law = T.kept(provisions(canonical), F.col("recovered")).select("id", F.lit("dispositivo").alias("nature"), F.lit("diploma").alias("field"), F.col("statute").alias("value"))
+    summary = T.kept(summaries(canonical), F.col("recovered")).select("id", F.lit("sumula").alias("nature"), F.lit("numero").alias("field"), F.col("number").alias("value"))
     return law.unionByName(summary).withColumn("method", F.lit("canonical_text_signature"))
 
 
@@ -91,6 +113,6 @@ def unindexed(canonical: DataFrame) -> DataFrame:
 
     def lacking(rows: DataFrame, nature: str, names: list[tuple[str, str]]) -> DataFrame:
         missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(n)) for n, c in names]))
-        return rows.select("id", F.lit(nature).alias("nature"), missing.alias("missing")).filter(F.size("missing") > 0)
+        return T.kept(rows.select("id", F.lit(nature).alias("nature"), missing.alias("missing")), F.size("missing") > 0)
 
     return lacking(provisions(canonical), "dispositivo", [("artigo", "article"), ("diploma", "statute")]).unionByName(lacking(summaries(canonical), "sumula", [("tribunal", "court"), ("numero", "number")]))

@@ -6,6 +6,8 @@ indexes meet a table of distinct literals, not of citations.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,19 +20,25 @@ from tessera.session import written
 
 def law_keys(literals: DataFrame) -> DataFrame:
     """literal, statute, article; null where the literal names none."""
-    view = T.short_view(F.col("literal"))
-    return literals.select("literal", T.statute(view).alias("statute"), F.nullif(T.article(view), F.lit("")).alias("article"))
+    view = F.col("view")
+    return literals.select("literal", T.short_view(F.col("literal")).alias("view")).select("literal", T.statute(view).alias("statute"), F.nullif(T.article(view), F.lit("")).alias("article"))
+
+
+def _ends(found: DataFrame) -> DataFrame:
+    """Of an index with lists of ids, their ends."""
+    return found.withColumns({"least": F.array_min("ids"), "most": F.array_max("ids")}).drop("ids") if "ids" in found.columns else found
 
 
 def resolve_laws(literals: DataFrame, law_index: DataFrame) -> DataFrame:
-    """literal, canonical_id: the one provision of that statute and article, else null."""
-    single = law_index.filter(F.size("ids") == 1).select("statute", "article", F.col("ids")[0].alias("canonical_id"))
-    return law_keys(literals).join(single, ["statute", "article"], "left").select("literal", "canonical_id")
+    """literal, canonical_id: the one provision of that statute and article, else null. `law_index` has ids, or least and most."""
+    # A null-safe join: Spark would put tests for nulls, with all that the keys are made of, below a plain one.
+    single = _ends(law_index).filter("least = most").select(F.col("statute").alias("of"), F.col("article").alias("at"), F.col("least").alias("canonical_id"))
+    return law_keys(literals).join(single, F.col("statute").eqNullSafe(F.col("of")) & F.col("article").eqNullSafe(F.col("at")), "left").select("literal", "canonical_id")
 
 
 def summary_keys(literals: DataFrame) -> DataFrame:
     """literal, number, court (empty if none is named or implied), valid (a binding summary is of the STF)."""
-    view = T.short_view(F.col("literal"))
+    view, literals = F.col("view"), literals.select("literal", T.short_view(F.col("literal")).alias("view"))
     pattern = "(?U)" + P.SUMMARY_PARTS
     named = F.regexp_extract(view, "(?U)" + P.COURT, 1)
     binding = F.regexp_extract(view, pattern, 1) != ""
@@ -40,12 +48,12 @@ def summary_keys(literals: DataFrame) -> DataFrame:
 
 
 def resolve_summaries(literals: DataFrame, summary_index: DataFrame) -> DataFrame:
-    """literal, canonical_id: by court and number, or by number alone where no court is named; null unless just one record fits."""
-    keyed = summary_keys(literals).filter("valid")
-    by_court = summary_index.select("court", "number", "ids")
-    anywhere = summary_index.select("number", F.explode("ids").alias("id")).groupBy("number").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.lit("").alias("court"), "number", "ids")
-    single = by_court.unionByName(anywhere).filter(F.size("ids") == 1).select("court", "number", F.col("ids")[0].alias("canonical_id"))
-    found = keyed.join(single, ["court", "number"]).select("literal", "canonical_id")
+    """literal, canonical_id: by court and number, or by number alone where no court is named; null unless just one record fits. `summary_index` has ids, or least and most."""
+    keyed = T.kept(summary_keys(literals), F.col("valid"))
+    by_court = _ends(summary_index).select("court", "number", "least", "most")
+    anywhere = by_court.groupBy("number").agg(F.min("least").alias("least"), F.max("most").alias("most")).select(F.lit("").alias("court"), "number", "least", "most")
+    single = by_court.unionByName(anywhere).filter("least = most").select(F.col("court").alias("of"), F.col("number").alias("at"), F.col("least").alias("canonical_id"))
+    found = keyed.join(single, F.col("court").eqNullSafe(F.col("of")) & F.col("number").eqNullSafe(F.col("at"))).select("literal", "canonical_id")
     return literals.select("literal").join(found, "literal", "left")
 
 
@@ -69,19 +77,34 @@ def resolve_cases(literals: DataFrame, number_index: DataFrame) -> DataFrame:
     return both.select("literal", "classification", F.when(F.col("classification") == "real", F.col("id")).alias("canonical_id"))
 
 
-def classify(citations: DataFrame, canonical: DataFrame) -> DataFrame:
+class Indexes(NamedTuple):
+    """The three indexes of a canonical table."""
+
+    numbers: DataFrame
+    laws: DataFrame
+    summaries: DataFrame
+
+
+def indexes(canonical: DataFrame, keep: bool = False) -> Indexes:
+    """`keep` writes them, for several uses."""
+    made = Indexes(index.number_index(canonical), index.law_ends(canonical), index.summary_ends(canonical))
+    return Indexes(*[written(x, "index") for x in made]) if keep else made
+
+
+def classify(citations: DataFrame, canonical: DataFrame | Indexes) -> DataFrame:
     """documento_id, start, end, kind, classification, canonical_id, confidence, literal.
 
     The citations, far smaller than the texts, are written once: four branches read them, and none
     runs the extraction again.
     """
+    known = canonical if isinstance(canonical, Indexes) else indexes(canonical)
     citations = written(citations, "citations")
     distinct = citations.filter("explicit_type <> 'incomplete'").select("explicit_type", "literal").distinct()
     of = lambda kind: distinct.filter(F.col("explicit_type") == kind).select("literal")
     verdict = F.when(F.col("canonical_id").isNull(), "inventada").otherwise("real")
-    laws = resolve_laws(of("law"), index.law_index(canonical)).select(F.lit("law").alias("explicit_type"), "literal", verdict.alias("classification"), "canonical_id")
-    sums = resolve_summaries(of("sumula"), index.summary_index(canonical)).select(F.lit("sumula").alias("explicit_type"), "literal", verdict.alias("classification"), "canonical_id")
-    cases = resolve_cases(of("case"), index.number_index(canonical)).select(F.lit("case").alias("explicit_type"), "literal", "classification", "canonical_id")
+    laws = resolve_laws(of("law"), known.laws).select(F.lit("law").alias("explicit_type"), "literal", verdict.alias("classification"), "canonical_id")
+    sums = resolve_summaries(of("sumula"), known.summaries).select(F.lit("sumula").alias("explicit_type"), "literal", verdict.alias("classification"), "canonical_id")
+    cases = resolve_cases(of("case"), known.numbers).select(F.lit("case").alias("explicit_type"), "literal", "classification", "canonical_id")
     answers = laws.unionByName(sums).unionByName(cases)
     return citations.join(answers, ["explicit_type", "literal"], "left").select(
         "documento_id", "start", "end", "kind", F.coalesce("classification", F.lit("incompleta")).alias("classification"),
@@ -89,7 +112,7 @@ def classify(citations: DataFrame, canonical: DataFrame) -> DataFrame:
     )
 
 
-def predict(docs: DataFrame, canonical: DataFrame, id_col: str = "documento_id", text_col: str = "texto", templates: bool = False) -> DataFrame:
+def predict(docs: DataFrame, canonical: DataFrame | Indexes, id_col: str = "documento_id", text_col: str = "texto", templates: bool = False) -> DataFrame:
     """Texts to classified citations."""
     return classify(extract(docs, id_col, text_col, templates), canonical)
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions import patterns as P
 
 
+#: Where a row stands in the file it was read from.
+POSITION = "_position"
+
+
 class SubmissionError(ValueError):
     """A fault of the submission, shown to its author."""
 
@@ -60,7 +64,7 @@ def parse_solution(frame: DataFrame, by: tuple[str, ...] = ("documento_id", "niv
     f = lambda i: F.get("f", F.lit(i))
     ids = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(F.coalesce(f(3), F.lit("")), ":"), lambda x: ~F.trim(x).isin("", "-")), norm_id)))
     start, end, name = f(0).try_cast("int"), f(1).try_cast("int"), F.lower(f(2))
-    error = F.when(start.isNull() | end.isNull(), "offset").when((name == "real") & (F.size(ids) == 0), "no id")
+    error = F.when(F.size("f") < 4, "fields").when(start.isNull() | end.isNull(), "offset").when((name == "real") & (F.size(ids) == 0), "no id")
     return rows.select(*by, "pos", start.alias("start"), end.alias("end"), name.alias("classe"), ids.alias("ids"), error.alias("error"))
 
 
@@ -171,9 +175,11 @@ def check_columns(solution: DataFrame, submission: DataFrame, row_id: str) -> No
 def evaluate(solution: DataFrame, submission: DataFrame, row_id: str = "documento_id", order: str | None = None) -> DataFrame:
     """Level rows (level_scores) after all checks; raises SubmissionError or GoldError.
 
-    `order` names a column that says which of repeated submission rows is first; without it, repeated
-    rows must be equal to count as one. The driver sees one example of a fault, not the data.
+    `order` names a column that says which of repeated submission rows is first: by default POSITION,
+    which the CSV reader adds. Without either, repeated rows must be equal to count as one. The driver
+    sees one example of a fault, not the data.
     """
+    order = order or (POSITION if POSITION in submission.columns else None)
     check_columns(solution, submission, row_id)
     gold = solution.drop("Usage").withColumnRenamed(row_id, "documento_id")
     sub = submission.withColumnRenamed(row_id, "documento_id")
@@ -196,3 +202,10 @@ def score(solution: DataFrame, submission: DataFrame, row_id: str = "documento_i
     if levels is None or levels[0] is None:
         raise SubmissionError("nothing to evaluate")
     return float(levels[0])
+
+
+def require_score(score: float, expected: float) -> float:
+    """The gate of a release: raises unless the score is the expected one."""
+    if abs(score - expected) > 1e-12:
+        raise SubmissionError(f"score {score:.12f}, expected {expected:.12f}")
+    return score

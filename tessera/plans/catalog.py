@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import patterns as P
 from tessera.functions import text as T
-from tessera.operators import audit, extract, index, resolve, score
+from tessera.operators import audit, extract, index, resolve, runs, score
 from tessera.plans import corpora as C
+from tessera.plans import spelled
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -148,7 +149,7 @@ def extract_citations(spark, sf_dir):
 @query("""
 WITH RECURSIVE s AS (
   SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber * 5, l_partkey, l_extendedprice) AS rk, CAST(l_linenumber * 5 AS INT) AS lo, CAST(l_linenumber * 5 + floor(l_quantity / 5) + 1 AS INT) AS hi, CAST(l_quantity AS INT) AS q
-  FROM {lineitem} WHERE l_orderkey % 4 = 0),
+  FROM {lineitem}),
 u AS (SELECT doc, lo, hi, q, row_number() OVER (PARTITION BY doc ORDER BY q DESC, hi - lo DESC, lo) AS rk FROM (SELECT DISTINCT doc, lo, hi, q FROM s)),
 f AS (
   SELECT doc, 1 AS rk, [lo] AS los, [hi] AS his FROM u WHERE rk = 1
@@ -162,7 +163,7 @@ SELECT doc, unnest(los) AS start, unnest(his) AS "end" FROM w
 def arbitrate_spans(spark, sf_dir):
     q = F.col("l_quantity")
     item = F.struct((F.col("l_linenumber") * 5).cast("int").alias("start"), (F.col("l_linenumber") * 5 + F.floor(q / 5) + 1).cast("int").alias("end"), F.lit("lei").alias("kind"), F.lit("law").alias("explicit_type"), q.cast("int").alias("priority"))
-    rows = _table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0").groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_set(item).alias("items"))
+    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_set(item).alias("items"))
     return rows.select("doc", F.explode(extract.arbitrate(F.col("items"))).alias("x")).select("doc", "x.start", "x.end")
 
 
@@ -172,6 +173,42 @@ def template_spans(spark, sf_dir):
     return rows.select("documento_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"))
 
 
+def _spell(values: list, key: str) -> str:
+    return "CASE " + " ".join(f"WHEN {key} % {len(values)} = {i} THEN " + (f"'{v}'" if isinstance(v, str) else str(v)) for i, v in enumerate(values)) + " END"
+
+
+_CASE_TEXTS = f"SELECT o_orderkey, concat({_spell(spelled.CASES, 'o_orderkey')}, ' n', chr(186), ' ', CAST(100000 + o_orderkey AS STRING), '/SP') AS literal FROM {{orders}}"
+
+
+@query(f"SELECT CAST(o_orderkey AS STRING) AS documento_id, 14 AS start, 14 + length(literal) AS \"end\", 'case' AS explicit_type, literal FROM ({_CASE_TEXTS}) t")
+def case_classes(spark, sf_dir):
+    """Every class of cases, through the whole extraction."""
+    rows = C.frame(spark, sf_dir, _CASE_TEXTS).select(F.col("o_orderkey").cast("string").alias("documento_id"), F.concat(F.lit("Confira-se o: "), "literal", F.lit(", no ponto em que decide.")).alias("texto"))
+    return extract.extract(rows).select("documento_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "explicit_type", "literal")
+
+
+_TEMPLATE_TEXTS = f"""SELECT o_orderkey, opening, concat('REsp n', chr(186), ' ', CAST(100000 + o_orderkey AS STRING), '/SP') AS literal, ending
+FROM (SELECT o_orderkey, {_spell(spelled.OPENINGS, 'o_orderkey')} AS opening, {_spell(spelled.ENDINGS, '(o_orderkey // 37)')} AS ending FROM {{orders}}) u"""
+
+
+@query(f"SELECT CAST(o_orderkey AS STRING) AS documento_id, length(opening) AS start, length(opening) + length(literal) AS \"end\", 'jurisprudencia' AS kind, 'case' AS explicit_type FROM ({_TEMPLATE_TEXTS}) t")
+def template_forms(spark, sf_dir):
+    """Every opening with every ending, and the type of what stands between them."""
+    rows = C.frame(spark, sf_dir, _TEMPLATE_TEXTS).select(F.col("o_orderkey").cast("string").alias("documento_id"), F.concat("opening", "literal", "ending", F.lit(" do caso")).alias("texto"))
+    rows = rows.withColumn("x", F.explode(extract.template_candidates(F.col("texto"), T.matching_view(F.col("texto")))))
+    return rows.select("documento_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), "x.kind", "x.explicit_type")
+
+
+_VAGUE_TEXTS = f"SELECT o_orderkey, {_spell([v for v, _, _ in spelled.VAGUE], 'o_orderkey')} AS literal, {_spell([e for _, e, _ in spelled.VAGUE], 'o_orderkey')} AS ending, {_spell([w for _, _, w in spelled.VAGUE], 'o_orderkey')} AS whole FROM {{orders}}"
+
+
+@query(f"SELECT CAST(o_orderkey AS STRING) AS documento_id, 12 AS start, 12 + length(literal) AS \"end\", 'incomplete' AS explicit_type, literal FROM ({_VAGUE_TEXTS}) t WHERE whole")
+def vague_forms(spark, sf_dir):
+    """References without a number: named by court or class, ended by each kind of phrase end, or lacking a part and so none."""
+    rows = C.frame(spark, sf_dir, _VAGUE_TEXTS).select(F.col("o_orderkey").cast("string").alias("documento_id"), F.concat(F.lit("Confira-se: "), "literal", "ending", F.lit(" o mais.")).alias("texto"))
+    return extract.extract(rows).select("documento_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "explicit_type", "literal")
+
+
 # ---- keys and indexes
 
 
@@ -223,7 +260,10 @@ def summary_index(spark, sf_dir):
     return index.summary_index(_rules(spark, sf_dir)).select("court", "number", F.array_join("ids", ",").alias("ids"))
 
 
-@query("SELECT * FROM (VALUES (999001, 'sumula', 'numero', '10', 'canonical_text_signature'), (999002, 'dispositivo', 'diploma', 'clt', 'canonical_text_signature')) t(id, nature, field, \"value\", method)")
+_RECOVERED = [*((i, "dispositivo", "diploma", s) for i, _, s, _ in C.WORDING), *((i, "sumula", "numero", n) for i, _, n, _ in C.SUMMARY_WORDING)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}', '{v}', 'canonical_text_signature')" for i, a, b, v in _RECOVERED) + ") t(id, nature, field, \"value\", method)")
 def recoveries(spark, sf_dir):
     return index.recoveries(_rules(spark, sf_dir))
 
@@ -247,10 +287,10 @@ def number_index(spark, sf_dir):
 
 @query(f"""
 WITH one AS (SELECT article, min(id) AS id FROM {_LAWS} r WHERE statute = 'codigo_civil' AND article IS NOT NULL GROUP BY article HAVING count(DISTINCT id) = 1)
-SELECT p_partkey, one.id AS canonical_id FROM {{part}} LEFT JOIN one ON one.article = CAST(1 + p_partkey % 700 AS STRING)
+SELECT p_partkey, one.id AS canonical_id FROM {{part}} LEFT JOIN one ON one.article = CAST(p_partkey + 10 AS STRING)
 """)
 def resolve_law(spark, sf_dir):
-    parts = _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("artigo "), (1 + F.col("p_partkey") % 700).cast("string"), F.lit("º, inciso II, do Códig0 Civil")).alias("literal"))
+    parts = _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("artigo "), (F.col("p_partkey") + 10).cast("string"), F.lit("º, inciso II, do Códig0 Civil")).alias("literal"))
     return parts.join(resolve.resolve_laws(parts.select("literal").distinct(), index.law_index(_rules(spark, sf_dir))), "literal", "left").select("p_partkey", "canonical_id")
 
 
@@ -294,18 +334,20 @@ def _canonical(spark, sf_dir) -> DataFrame:
 WITH c AS ({_CASES}), b AS ({C.BRIEFS}),
 s AS (SELECT DISTINCT court, number, id FROM {_SUMS} r WHERE court IS NOT NULL AND number IS NOT NULL),
 stj AS (SELECT number, min(id) AS id FROM s WHERE court = 'stj' GROUP BY number HAVING count(*) = 1), every AS (SELECT number, min(id) AS id FROM s GROUP BY number HAVING count(*) = 1),
+cpc AS (SELECT article, min(id) AS id FROM {_LAWS} r WHERE statute = 'codigo_processo_civil_2015' AND article IS NOT NULL GROUP BY article HAVING count(DISTINCT id) = 1),
+cf AS (SELECT article, min(id) AS id FROM {_LAWS} r WHERE statute = 'constituicao_federal' AND article IS NOT NULL GROUP BY article HAVING count(DISTINCT id) = 1),
 f AS (
-  SELECT b.*, CASE WHEN k IN (2) THEN stj.id WHEN k IN (3) THEN NULL WHEN k = 6 THEN e6.id END AS rule_id, c.classification AS cls, c.id AS case_id
-  FROM b LEFT JOIN c ON c.number = b.n AND k = 0 LEFT JOIN stj ON stj.number = CAST(a AS STRING) LEFT JOIN every e6 ON e6.number = CAST(1000 + a AS STRING))
+  SELECT b.*, CASE k WHEN 1 THEN cpc.id WHEN 2 THEN stj.id WHEN 6 THEN e6.id WHEN 10 THEN cf.id END AS rule_id, c.classification AS cls, c.id AS case_id
+  FROM b LEFT JOIN c ON c.number = b.n AND k = 0 LEFT JOIN stj ON stj.number = CAST(a AS STRING) LEFT JOIN every e6 ON e6.number = CAST(1000 + a AS STRING)
+  LEFT JOIN cpc ON cpc.article = CAST(a AS STRING) LEFT JOIN cf ON cf.article = CAST(a AS STRING))
 SELECT documento_id, length(pre) AS start, CASE WHEN k IN (1, 10) THEN 'lei' ELSE 'jurisprudencia' END AS kind,
   CASE WHEN k = 7 THEN 'incompleta' WHEN k = 0 THEN coalesce(cls, 'inventada') WHEN rule_id IS NOT NULL THEN 'real' ELSE 'inventada' END AS classification,
   CAST(CASE WHEN k = 0 THEN CASE WHEN cls = 'real' THEN case_id END ELSE rule_id END AS STRING) AS canonical_id, 1.0::DOUBLE AS confidence
-FROM f WHERE k NOT IN (8, 9, 4, 11)
+FROM f WHERE k NOT IN (8, 9)
 """)
 def classify_citations(spark, sf_dir):
-    """Texts to classes, end to end; without the forms whose families no record has."""
-    briefs = _briefs(spark, sf_dir).filter("k NOT IN (4, 11)")
-    return resolve.predict(briefs, _canonical(spark, sf_dir)).select("documento_id", F.col("start").cast("long").alias("start"), "kind", "classification", "canonical_id", "confidence")
+    """Texts to classes, end to end. Numbers that only records of other families have (k = 4, 5, 11) are `inventada`."""
+    return resolve.predict(_briefs(spark, sf_dir), _canonical(spark, sf_dir)).select("documento_id", F.col("start").cast("long").alias("start"), "kind", "classification", "canonical_id", "confidence")
 
 
 # ---- cells and scores
@@ -549,7 +591,8 @@ SELECT family, 'a' AS mode, round(sum(nivel * score) / sum(nivel), 10) AS score_
 def family_scores(spark, sf_dir):
     """All slices of a predictor's score from one matching."""
     solution = gold_cells(spark, sf_dir)
-    rows = audit.sliced_scores(solution, _encoded(spark, sf_dir).withColumn("mode", F.lit("a")), solution.select("documento_id", F.expr(_FAMILY).alias("family")))
+    cells = solution.select("documento_id").join(_encoded(spark, sf_dir), "documento_id", "left").fillna("-", ["citacoes"])
+    rows = audit.sliced_scores(solution, cells.withColumn("mode", F.lit("a")), solution.select("documento_id", F.expr(_FAMILY).alias("family")))
     return rows.withColumn("score_final", F.round("score_final", 10))
 
 
@@ -558,12 +601,34 @@ def file_hashes(spark, sf_dir):
     return _table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.encode("text", "utf-8").alias("content")).select("doc_id", audit.file_hash().alias("digest"))
 
 
-@query()
+@query("""
+SELECT sha256(unhex(string_agg(printf('%016x', strlen(CAST(doc_id AS STRING))) || hex(CAST(doc_id AS STRING)) || printf('%016x', strlen(text)) || hex(text), '' ORDER BY CAST(doc_id AS STRING)))) AS corpus_sha256
+FROM documents WHERE text IS NOT NULL
+""")
 def corpus_hash(spark, sf_dir):
-    files = _table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.encode("r_name", "utf-8").alias("content"))
+    """Every text of documents as a file, named by its id."""
+    files = _table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("name"), F.encode("text", "utf-8").alias("content"))
     return audit.corpus_hash(files)
 
 
+_LABELS = "SELECT documento_id, concat('g', CAST(k AS STRING)) AS citacao_id, length(pre) AS inicio, length(pre) + length(literal) AS fim, literal AS trecho, CASE WHEN k IN (1, 10) THEN 'lei' ELSE 'jurisprudencia' END AS tipo, " \
+    "CASE WHEN k % 3 = 0 THEN 'real' WHEN k % 3 = 1 THEN 'inventada' ELSE 'incompleta' END AS classificacao, CASE WHEN k % 3 < 2 THEN CAST(n AS STRING) END AS id_canonico FROM (" + C.BRIEFS + ") b WHERE k <> 9"
+
+
+@query(f"""SELECT documento_id, concat_ws(',', inicio, fim, classificacao, CASE WHEN classificacao = 'real' THEN id_canonico ELSE '-' END, '1.0000') AS citacoes FROM ({_LABELS}) g
+UNION ALL SELECT documento_id, '-' FROM ({C.BRIEFS}) b WHERE k = 9""")
+def oracle_submission(spark, sf_dir):
+    """Labels to a submission, by way of contract documents; texts without labels have an empty cell."""
+    return runs.oracle_submission(C.frame(spark, sf_dir, _LABELS), _briefs(spark, sf_dir))
+
+
+@query(f"SELECT documento_id, CASE WHEN k IN (8, 9) THEN 0 ELSE 1 END AS citations FROM ({C.BRIEFS}) b")
+def predict_submission(spark, sf_dir):
+    """Texts to the checked cells of a submission."""
+    cells = runs.predict_submission(_briefs(spark, sf_dir), _canonical(spark, sf_dir))
+    return cells.select("documento_id", F.when(F.col("citacoes") == "-", 0).otherwise(F.size(F.split("citacoes", r"\|"))).alias("citations"))
+
+
 @query(f"""SELECT documento_id, 1 AS citations, length(pre) AS inicio FROM ({C.BRIEFS}) b WHERE k NOT IN (8, 9) UNION ALL SELECT documento_id, 0, NULL FROM ({C.BRIEFS}) b WHERE k IN (8, 9)""")
 def contract_documents(spark, sf_dir):
     """Predictions to contract JSON and back through the converter."""

@@ -55,15 +55,45 @@ SELECT o_orderkey, 100000 + o_orderkey AS number,
 FROM {orders}
 """
 
-#: Provisions (articles 1 to 50 twice; every ninth without a declared statute; every eleventh without an article) and summaries (some numbers twice).
+#: Provisions of two statutes: an article of their own each (every fifth shares its predecessor's); every ninth without a declared statute; every
+#: eleventh without an article. Summaries, some numbers twice. And a record for each wording that tells a statute or a number.
+WORDING = [
+    (999101, "276", "codigo_eleitoral", "As decisões dos Tribunais Regionais são terminativas."),
+    (999102, "290", "codigo_penal_militar", "Receber, preparar, produzir, vender, fornecer."),
+    (999103, "14", "codigo_defesa_consumidor", "O fornecedor de serviços responde."),
+    (999104, "93", "constituicao_federal", "Lei de iniciativa do Supremo Tribunal Federal disporá sobre o Estatuto da Magistratura."),
+    (999105, "896", "clt", "Cabe recurso de revista para Turma do Tribunal Superior do Trabalho."),
+    (999106, "7", "constituicao_federal", "São direitos dos trabalhadores urbanos e rurais."),
+    (999107, "5", "constituicao_federal", "Todos são iguais perante a lei."),
+    (999108, "818", "clt", "O ônus da prova incumbe ao reclamante."),
+    (999109, "312", "codigo_processo_penal", "A prisão preventiva poderá ser decretada como garantia da ordem pública."),
+    (999110, "477", "clt", "Na extinção do contrato de trabalho."),
+    (999111, "186", "codigo_civil", "Aquele que, por ação ou omissão voluntária, comete ato ilícito."),
+    (999112, "1", "lei_complementar_64_1990", "São inelegíveis."),
+    (999113, "373", "codigo_processo_civil_2015", "O ônus da prova incumbe ao autor."),
+]
+SUMMARY_WORDING = [
+    (999201, "STF", "10", "Viola a cláusula de reserva de plenário a decisão."),
+    (999202, "TST", "331", "Contrato de prestação de serviços: a contratação de trabalhadores por empresa interposta é ilegal."),
+]
+
+
+def _worded() -> str:
+    null = "CAST(NULL AS STRING)"
+    laws = [f"UNION ALL SELECT {i}, {null}, 'Art. {a}. {t}', 'dispositivo', {null}, {null}, '{a}', '{s}', {null}, {null}" for i, a, s, t in WORDING]
+    sums = [f"UNION ALL SELECT {i}, '{c}', '{t}', 'sumula', {null}, {null}, {null}, {null}, '{c.lower()}', '{n}'" for i, c, n, t in SUMMARY_WORDING]
+    return "\n  ".join(laws + sums)
+
+
 RULES = """
 SELECT id, tribunal, texto, natureza, diploma, numero, article, statute, court, number FROM (
-  SELECT p_partkey + 900000 AS id, CAST(NULL AS STRING) AS tribunal,
-    CASE WHEN p_partkey % 11 = 5 THEN 'Texto sem numero.' ELSE concat('Art. ', CAST(1 + p_partkey % 600 AS STRING), chr(186), ' Texto da norma.') END AS texto, 'dispositivo' AS natureza,
-    CASE WHEN p_partkey % 9 = 4 THEN CAST(NULL AS STRING) ELSE concat('C', chr(243), 'digo Civil') END AS diploma, CAST(NULL AS STRING) AS numero,
-    CASE WHEN p_partkey % 11 = 5 THEN CAST(NULL AS STRING) ELSE CAST(1 + p_partkey % 600 AS STRING) END AS article, CASE WHEN p_partkey % 9 = 4 THEN CAST(NULL AS STRING) ELSE 'codigo_civil' END AS statute,
+  SELECT p_partkey + 10000000 AS id, CAST(NULL AS STRING) AS tribunal,
+    CASE WHEN p_partkey % 11 = 5 THEN 'Texto sem numero.' ELSE concat('Art. ', CAST(p_partkey + 10 - CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 0 END AS STRING), chr(186), ' Texto da norma.') END AS texto, 'dispositivo' AS natureza,
+    CASE WHEN p_partkey % 9 = 4 THEN CAST(NULL AS STRING) WHEN p_partkey % 2 = 0 THEN concat('C', chr(243), 'digo Civil') ELSE concat('C', chr(243), 'digo de Processo Civil') END AS diploma, CAST(NULL AS STRING) AS numero,
+    CASE WHEN p_partkey % 11 = 5 THEN CAST(NULL AS STRING) ELSE CAST(p_partkey + 10 - CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 0 END AS STRING) END AS article,
+    CASE WHEN p_partkey % 9 = 4 THEN CAST(NULL AS STRING) WHEN p_partkey % 2 = 0 THEN 'codigo_civil' ELSE 'codigo_processo_civil_2015' END AS statute,
     CAST(NULL AS STRING) AS court, CAST(NULL AS STRING) AS number
-  FROM {part} WHERE p_partkey < 650
+  FROM {part}
   UNION ALL
   SELECT s_suppkey + 990000 AS id, CASE s_suppkey % 4 WHEN 0 THEN 'STJ' WHEN 1 THEN 'TST' WHEN 2 THEN 'STF' ELSE CAST(NULL AS STRING) END AS tribunal,
     CASE WHEN s_suppkey % 5 = 0 THEN 'Texto sem numero.' ELSE concat('S', chr(250), 'mula n', chr(186), ' ', CAST(1 + s_suppkey % 80 AS STRING), '. Texto.') END AS texto, 'sumula' AS natureza, CAST(NULL AS STRING) AS diploma,
@@ -71,16 +101,19 @@ SELECT id, tribunal, texto, natureza, diploma, numero, article, statute, court,
     CASE s_suppkey % 4 WHEN 0 THEN 'stj' WHEN 1 THEN 'tst' WHEN 2 THEN 'stf' ELSE CAST(NULL AS STRING) END AS court,
     CASE WHEN s_suppkey % 5 = 0 AND s_suppkey % 10 <> 0 THEN CAST(NULL AS STRING) ELSE CAST(1 + s_suppkey % 80 AS STRING) END AS number
   FROM {supplier}
-  UNION ALL SELECT 999001, 'STF', concat('Viola a cl', chr(225), 'usula de reserva de plen', chr(225), 'rio a decis', chr(227), 'o.'), 'sumula', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), 'stf', '10'
-  UNION ALL SELECT 999002, CAST(NULL AS STRING), concat('Art. 477. Na extin', chr(231), chr(227), 'o do contrato de trabalho.'), 'dispositivo', CAST(NULL AS STRING), CAST(NULL AS STRING), '477', 'clt', CAST(NULL AS STRING), CAST(NULL AS STRING)
+  WORDED
 ) t
-"""
+""".replace("WORDED", _worded())
 
-#: Gold spans, 100 apart in pseudo-documents of eight, and predictions: exact, shifted, of another class or link, contained extras, strays, or none.
+#: Gold spans, 100 apart, of pseudo-documents, one for each order, and predictions: exact, shifted, of another class or link, contained extras, strays, or none.
+#: A line's number follows from its order and its place there, so no step orders the whole table.
 GOLDS = """
-SELECT concat('d', CAST(rn // 8 AS STRING)) AS documento_id, CAST(1 + (rn // 8) % 2 AS INT) AS nivel, CAST((rn % 8) * 100 AS INT) AS inicio, CAST((rn % 8) * 100 + 20 + q AS INT) AS fim,
+SELECT concat('d', CAST(l_orderkey AS STRING)) AS documento_id, CAST(1 + l_orderkey % 2 AS INT) AS nivel, CAST(no * 100 AS INT) AS inicio, CAST(no * 100 + 20 + q AS INT) AS fim,
   CASE f WHEN 'A' THEN 'real' WHEN 'N' THEN 'inventada' ELSE 'incompleta' END AS classificacao, CASE f WHEN 'A' THEN CAST(700 + rn % 50 AS STRING) END AS id_canonico, rn, q, f
-FROM (SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS BIGINT) AS rn, CAST(l_quantity AS INT) AS q, l_returnflag AS f FROM {lineitem} WHERE l_orderkey % 20 = 0) t
+FROM (
+  SELECT l_orderkey, no, CAST(l_orderkey * 67 + no AS BIGINT) AS rn, q, f
+  FROM (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS BIGINT) AS no, CAST(l_quantity AS INT) AS q, l_returnflag AS f FROM {lineitem}) s
+) t
 """
 PREDS = """
 SELECT documento_id, CAST(start AS INT) AS start, CAST(end_ AS INT) AS end_, classe, CASE WHEN classe = 'real' THEN id END AS id, conf, rn, no FROM (

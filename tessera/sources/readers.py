@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tessera.operators.score import GoldError
+from tessera.operators.score import POSITION, GoldError
 
 
 def _stem(suffix: str) -> Column:
@@ -51,9 +51,13 @@ def solution(labelled: DataFrame) -> DataFrame:
 
 
 def submission(spark: SparkSession, path: str) -> DataFrame:
-    """documento_id, citacoes as text; an empty cell is an empty text."""
+    """documento_id, citacoes as text, and where each row stands (of rows of one document the first counts); an empty cell is an empty text."""
     rows = spark.read.csv(path, header=True, escape='"', nullValue="\x01none\x01", emptyValue="")
-    return rows.select("documento_id", F.coalesce("citacoes", F.lit("")).alias("citacoes")) if {"documento_id", "citacoes"} <= set(rows.columns) else rows
+    if not {"documento_id", "citacoes"} <= set(rows.columns):
+        return rows
+    # Within a block of a file, rows are numbered in order.
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("documento_id", F.coalesce("citacoes", F.lit("")).alias("citacoes"), place.alias(POSITION))
 
 
 CITATIONS = "array<struct<citacao_id:string,inicio:int,fim:int,trecho:string,tipo:string,classificacao:string,resolucao:struct<id_canonico:string>,confianca:double>>"

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 
 def contract(docs: DataFrame, citations: DataFrame) -> DataFrame:
-    """documento_id, json: the contract document of every text, with citations p1, p2, ... by position."""
+    """documento_id, json: the contract document of every text, with citations p1, p2, ... by position, or as their citacao_id says."""
     number = F.row_number().over(Window.partitionBy("documento_id").orderBy("start", "end"))
     rows = citations.withColumn("no", number)
     link = F.when(F.col("classification") == "real", F.struct(F.col("canonical_id").alias("id_canonico")))
     item = F.struct(
-        F.concat(F.lit("p"), F.col("no")).alias("citacao_id"), F.col("start").alias("inicio"), F.col("end").alias("fim"), F.col("literal").alias("trecho"), F.col("kind").alias("tipo"),
+        (F.col("citacao_id") if "citacao_id" in citations.columns else F.concat(F.lit("p"), F.col("no"))).alias("citacao_id"), F.col("start").alias("inicio"), F.col("end").alias("fim"), F.col("literal").alias("trecho"), F.col("kind").alias("tipo"),
         F.col("classification").alias("classificacao"), link.alias("resolucao"), F.col("confidence").alias("confianca"),
     )
     lists = rows.groupBy("documento_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", item.alias("item")))), lambda x: x["item"]).alias("citacoes"))
@@ -49,6 +49,19 @@ def write_submission(cells: DataFrame, path: str) -> None:
     cells.select("documento_id", "citacoes").orderBy("documento_id").coalesce(1).write.mode("overwrite").csv(path, header=True, lineSep="\r\n", emptyValue="")
 
 
+def write_submission_file(cells: DataFrame, path: str) -> None:
+    """The same as one plain file at `path`, on the driver's machine: rows come a partition at a time."""
+    import csv
+    import os
+
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", newline="", encoding="utf-8") as out:
+        lines = csv.writer(out)
+        lines.writerow(["documento_id", "citacoes"])
+        for row in cells.select("documento_id", "citacoes").orderBy("documento_id").toLocalIterator():
+            lines.writerow(row)
+
+
 def write_report(report: dict, path: str) -> None:
     """A report as sorted JSON."""
     with open(path, "w", encoding="utf-8") as out:

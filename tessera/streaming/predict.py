@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.extract import extract
-from tessera.operators.resolve import classify
+from tessera.operators.resolve import classify, indexes
 
 
 def text_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -15,9 +15,13 @@ def text_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000)
 
 
 def predict_stream(docs: DataFrame, canonical: DataFrame, path: str, checkpoint: str):
-    """Starts a query that appends classified citations; each batch is one batch prediction, written under its number, so a batch that is run again replaces its own output."""
+    """Starts a query that appends classified citations; each batch is one batch prediction, written under its number, so a batch that is run again replaces its own output.
+
+    The indexes are made once, before the stream starts.
+    """
+    known = indexes(canonical, keep=True)
 
     def batch(rows: DataFrame, number: int) -> None:
-        classify(extract(rows), canonical).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        classify(extract(rows), known).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

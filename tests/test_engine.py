@@ -7,7 +7,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import audit, index, resolve, score
+from tessera.operators import audit, index, resolve, runs, score
 from tessera.operators.extract import extract
 from tessera.sources import readers, sinks
 
@@ -130,7 +130,16 @@ def test_faults(spark, cell, kind):
         score.score(solution, spark.createDataFrame([("d",)], "documento_id string"))
 
 
-@pytest.mark.parametrize("gold", ["0,10,real,-", "0,10,real,1|5,12,incompleta,-"])
+def test_the_first_row_of_a_file_counts(spark, tmp_path):
+    """Whatever order a shuffle might bring rows in: the reader says where each stood."""
+    path = tmp_path / "sub.csv"
+    path.write_text("documento_id,citacoes\n" + "".join(f'd{i},"0,10,incompleta,-,-"\nd{i},broken\nd{i},-\n' for i in range(300)), encoding="utf-8")
+    solution = spark.createDataFrame([(f"d{i}", 1, "0,10,incompleta,-") for i in range(300)], "documento_id string, nivel int, citacoes string")
+    read = readers.submission(spark, str(path))
+    assert score.score(solution, read) == score.score(solution, read.repartition(7)) == pytest.approx(1.0, abs=1e-12)
+
+
+@pytest.mark.parametrize("gold", ["0,10,real,-", "0,10,real,1|5,12,incompleta,-", "0,10,incompleta", "0,10"])
 def test_label_faults(spark, gold):
     with pytest.raises(score.GoldError):
         score.score(spark.createDataFrame([("d", 1, gold)], "documento_id string, nivel int, citacoes string"), spark.createDataFrame([("d", "-")], "documento_id string, citacoes string"))
@@ -148,6 +157,18 @@ def test_report(spark):
     assert [(r["mode"], r["true_positive"], r["false_positive"]) for r in told["exact_spans"]] == [("x", 2, 0), ("y", 0, 1)]
     with pytest.raises(ValueError):
         audit.report(gold, solution, subs, families.limit(1), "x", "y")
+    assert [(r["family"], r["real"], r["incompleta"]) for r in told["family_support"]] == [("f1", 1, 0), ("f2", 0, 1)]
+    assert told["headline"]["changed_document_count"] == 2 and told["headline"]["metric_sensitive"] and told["headline"]["score_delta"] == pytest.approx(1.1 / 3 - 1.1)
+    assert told["headline"]["worst_family_score"] == {"x": pytest.approx(1.1), "y": 0.0} and told["estimated_unseen_score"] is None
+    with pytest.raises(ValueError, match="lacks documents"):
+        audit.sliced_scores(solution, subs, families.unionByName(spark.createDataFrame([("c", "f2")], families.schema)))
+    with pytest.raises(score.SubmissionError):
+        audit.sliced_scores(solution, subs.filter("mode = 'x' OR documento_id = 'a'"), families)
+    with pytest.raises(score.GoldError):
+        audit.report(gold.unionByName(gold.withColumn("nivel", F.lit(3)).limit(1)), solution, subs, families, "x", "y")
+    assert score.require_score(1.1, 1.1 + 1e-13) == 1.1
+    with pytest.raises(score.SubmissionError):
+        score.require_score(1.1, 1.0)
 
 
 def test_corpus_hash(spark):
@@ -188,7 +209,73 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.write_submission(cells, str(tmp_path / "csv"))
     part = next(p for p in (tmp_path / "csv").iterdir() if p.suffix == ".csv")
     assert part.read_bytes() == b'documento_id,citacoes\r\na,"5,14,real,5,1.0000"\r\nb,-\r\n'
-    assert dict(map(tuple, readers.submission(spark, str(tmp_path / "csv")).collect())) == {"a": "5,14,real,5,1.0000", "b": "-"}
+    assert {r["documento_id"]: r["citacoes"] for r in readers.submission(spark, str(tmp_path / "csv")).collect()} == {"a": "5,14,real,5,1.0000", "b": "-"}
+
+
+@pytest.fixture
+def corpus(tmp_path):
+    """Two texts, a database and labels."""
+    (tmp_path / "txt").mkdir()
+    (tmp_path / "txt" / "a.txt").write_bytes("Cita HC 123456.\r\nFim, e HC 777888.".encode())
+    (tmp_path / "txt" / "b.txt").write_bytes(b"nada")
+    with sqlite3.connect(tmp_path / "c.db") as made:
+        made.execute("CREATE TABLE documentos(id INTEGER, tribunal TEXT, ano INTEGER, relator TEXT, texto TEXT, natureza TEXT)")
+        made.execute("INSERT INTO documentos VALUES (5, 'STJ', 2019, 'A', 'HABEAS CORPUS Nº 123456', 'acordao')")
+    rows = ["nivel,documento_id,citacao_id,inicio,fim,trecho,tipo,classificacao,id_canonico", "1,a,g1,5,14,HC 123456,jurisprudencia,real,5.0", "1,a,g2,24,33,HC 777888,jurisprudencia,inventada,"]
+    (tmp_path / "gold.csv").write_text("\ufeff" + "\n".join(rows) + "\n", encoding="utf-8")
+    (tmp_path / "families.csv").write_text("documento_id,family\na,f1\n", encoding="utf-8")
+    return tmp_path
+
+
+def test_command_line(spark, corpus, capsys):
+    from tessera.__main__ import main
+
+    out, docs = corpus / "new" / "sub.csv", corpus / "json"
+    assert main([str(corpus / "c.db"), str(corpus / "txt"), str(out)]) == 0
+    want = b'documento_id,citacoes\r\na,"5,14,real,5,1.0000|24,33,inventada,-,1.0000"\r\nb,-\r\n'
+    assert out.read_bytes() == want
+    assert main(["evaluate", str(out), "--gold", str(corpus / "gold.csv"), "--expect", "1.1"]) == 0
+    assert json.loads(capsys.readouterr().out)["score_final"] == pytest.approx(1.1, abs=1e-12)
+    assert main(["evaluate", str(out), "--gold", str(corpus / "gold.csv"), "--expect", "1"]) == 1
+    assert main(["oracle", str(corpus / "gold.csv"), str(corpus / "txt"), str(corpus / "oracle.csv"), "--json-dir", str(docs)]) == 0
+    assert (corpus / "oracle.csv").read_bytes() == want
+    assert [c["citacao_id"] for c in json.loads((docs / "a.json").read_text(encoding="utf-8"))["citacoes"]] == ["g1", "g2"]
+    (docs / "old.json").write_text("{}")
+    assert main(["oracle", str(corpus / "gold.csv"), str(corpus / "txt"), str(corpus / "oracle.csv"), "--json-dir", str(docs)]) == 2
+    assert main(["predict", str(corpus / "none.db"), str(corpus / "txt"), str(out)]) == 2
+    assert "another run" in capsys.readouterr().err
+    out.write_text("documento_id,citacoes\na,-\n")
+    (corpus / "gold.csv").write_text((corpus / "gold.csv").read_text(encoding="utf-8") + "2,b,g1,0,4,nada,lei,incompleta,\n", encoding="utf-8")
+    assert main(["evaluate", str(out), "--gold", str(corpus / "gold.csv")]) == 2
+
+
+def test_validation_command(spark, corpus):
+    import hashlib
+
+    from tessera.__main__ import main
+
+    (corpus / "txt" / "b.txt").unlink()
+    assert main(["validate", *[str(corpus / x) for x in ("c.db", "txt", "gold.csv", "families.csv", "report.json")]]) == 0
+    told = json.loads((corpus / "report.json").read_text(encoding="utf-8"))
+    assert told["provenance"]["document_count"] == 1 and told["provenance"]["database_sha256"] == hashlib.sha256((corpus / "c.db").read_bytes()).hexdigest()
+    text = (corpus / "txt" / "a.txt").read_bytes()
+    assert told["provenance"]["text_corpus_sha256"] == hashlib.sha256((5).to_bytes(8, "big") + b"a.txt" + len(text).to_bytes(8, "big") + text).hexdigest()
+    assert told["headline"]["score"]["generic"] == pytest.approx(1.1, abs=1e-12) and told["headline"]["changed_document_count"] == 0
+
+
+def test_oracle_faults(spark, corpus):
+    docs, labels = readers.texts(spark, str(corpus / "txt")), readers.labels(spark, str(corpus / "gold.csv"))
+    assert dict(map(tuple, runs.oracle_submission(labels, docs).collect())) == {"a": "5,14,real,5,1.0000|24,33,inventada,-,1.0000", "b": "-"}
+    for wrong in (labels.withColumn("documento_id", F.lit("z")), labels.withColumn("trecho", F.lit("HC 1")), labels.withColumn("id_canonico", F.lit("x1"))):
+        with pytest.raises(score.GoldError):
+            runs.oracle_citations(wrong, docs)
+
+
+def test_long_numbers_are_read_whole(spark):
+    """A number that starts near the limit and is longer than what is read past it."""
+    number = "1 " * 900 + "7"
+    rows = spark.createDataFrame([(1, "STJ", 2019, "A", "x " * 190 + "RECURSO ESPECIAL " + number + " fim", "acordao")], "id long, tribunal string, ano int, relator string, texto string, natureza string")
+    assert [r["key"] for r in index.number_index(rows).collect()] == ["1" * 900 + "7"]
 
 
 def test_violations(spark):

@@ -36,6 +36,21 @@ def test_short_view(spark):
     assert rows[0]["v"] == "constituicao federal § 1o - ss fim"
 
 
+def test_short_view_folds_all_of_unicode(spark):
+    """Code point by code point, against Python's decomposition and case folding."""
+    import unicodedata
+
+    def folded(text):
+        text = text.translate({ord(c): "-" for c in "–—−"} | {ord(c): "o" for c in "º°"})
+        plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        return " ".join(plain.casefold().split())
+
+    codes = [c for c in range(0x21, 0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.normalize("NFKD", chr(c)) != chr(c) or chr(c).casefold() != chr(c) or unicodedata.combining(chr(c)))]
+    texts = ["a" + "x".join(map(chr, codes[i : i + 50])) + "z" for i in range(0, len(codes), 50)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.short_view(F.col("t")).alias("v")).collect()
+    assert [(r["i"], r["v"]) for r in got if r["v"] != folded(texts[r["i"]])][:3] == []
+
+
 @pytest.fixture(scope="module")
 def spans_of(spark):
     def run(texts, pattern):
