@@ -15,8 +15,11 @@ every link, by a bound that the triangle inequality gives.
    Very frequent shingles come last in that order; their list has a proven bound.
 3. Document pivots. The texts that meet at a shingle choose the least of them as their pivot. A text
    belongs to the Voronoi region of that document, and is replicated to the regions of the other
-   documents whose windows it is in. Regions of more than REGION texts are cut into tiles in which
-   each two texts meet.
+   documents whose windows it is in. In a region of more than REGION texts each text first meets the
+   pivot alone. The least pivot that is near enough is the text's home: texts of one home all link
+   (for components, those within 1/4 of it link to it; for numbers of links, those that differ from it
+   by so little, about 1/8, that any two of them link), so they aren't compared. The others are cut into shares, and meet each other and the
+   texts at home in tiles. A group of near copies so goes to as many rows as it has texts.
 4. Recursion. Within a region (or tile) the longest text left is the pivot p. Texts within 1/4 link
    to it. Those within 1/2 are the boundary: each may also link to texts within 1/4, but only to
    those i with |d(w,p) - d(i,p)| <= 1/4. Texts beyond 1/2 can't. The rest, boundary included, is
@@ -24,8 +27,8 @@ every link, by a bound that the triangle inequality gives.
 
 For components, links that connect are enough. For numbers of links every pair that links is found:
 two texts near one pivot link uncompared if d(i,p) + d(j,p) <= 1/4, and are compared otherwise. A pair
-that meets in many regions or tiles counts in one: the region of its least common centre. Only sums
-leave a tile, so rows don't grow with the pairs.
+that meets in many regions or tiles counts in one: the region of its least common centre. Pairs of one
+home are counted by what the home holds. Only sums leave a tile, so rows don't grow with the pairs.
 
 Texts of one set are one point: they are linked without being compared, and count once in every step
 (as many partners as they are, in the numbers of links).
@@ -163,7 +166,8 @@ def _supported(docs: DataFrame, text_col: str, k: int, tokens: int, texts: int)
         once = np.zeros(len(ids), bool)
         once[first] = True
         short, ids, runs = short[np.repeat(once, runs)], ids[once], runs[once]
-        found = np.bincount(short, minlength=1 << 24)
+        found = np.zeros(1 << 24, np.uint32)  # half of what bincount takes
+        np.add.at(found, short, np.uint32(1))
         shared = (found[short] > 1).astype(np.int64)
         support = np.add.reduceat(shared, np.cumsum(runs) - runs)
         hot = np.flatnonzero(found >= often)
@@ -321,6 +325,37 @@ def _pair(a: np.ndarray, b: np.ndarray) -> int:
     return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
 
 
+def _homes(sets: DataFrame, big: DataFrame, counted: bool) -> DataFrame:
+    """(entity, home): the least centre of a big region (centre, entity, g) that the text is near enough to. One row for each text and region moves."""
+
+    def at_home(pivot: int, own: int, both: int) -> bool:
+        if not counted:
+            return DEN * both >= NUM * (pivot + own - both)
+        # x and y share at least |p| - |p - x| - |p - y|, and their union has at most |p| + |x - p| + |y - p|.
+        return 2 * (DEN * (pivot - both) + NUM * (own - both)) <= (DEN - NUM) * pivot
+
+    mine = F.pmod(F.xxhash64("entity", "centre"), F.col("g"))
+    rows = big.select("centre", mine.alias("share"), F.lit(1).alias("no"), "entity")
+    heads = big.select("centre", "g").distinct().select("centre", F.explode(F.expr("sequence(0L, g - 1)")).alias("share"), F.lit(0).alias("no"), F.col("centre").alias("entity"))
+    ordered = rows.unionByName(heads).join(sets.select("entity", "items"), "entity").repartition("centre", "share").sortWithinPartitions("centre", "share", "no")
+
+    def meet(batches):
+        head = None
+        for batch in batches:
+            out = []
+            for centre, no, entity, data in zip(*(batch.column(x) for x in ("centre", "no", "entity", "items")), strict=True):
+                own = np.frombuffer(data.as_py(), np.uint64)
+                if no.as_py() == 0:
+                    head = own
+                    continue
+                if at_home(len(head), len(own), _pair(head, own)):
+                    out.append((entity.as_py(), centre.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["entity", "home"])
+
+    near = ordered.select("centre", "no", "entity", "items").mapInArrow(meet, "entity long, home long")
+    return near.groupBy("entity").agg(F.min("home").alias("home"))
+
+
 def _links(sets: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(a, b, n): links between entities, which connect all that links connect, with n = 0.
 
@@ -329,16 +364,32 @@ def _links(sets: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     window = sets.select("entity", F.explode("window").alias("pivot"))
     centre = window.groupBy("pivot").agg(F.min("entity").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     members = materialize(window.join(centre, "pivot").select("centre", "entity").distinct(), "regions")
-    sizes = members.groupBy("centre").agg(F.count(F.lit(1)).alias("n"))
-    parts = members.join(sizes, "centre").withColumn("g", F.when(F.col("n") <= REGION, 1).otherwise(F.ceil(F.col("n") / (REGION // 2))).cast("long"))
-    mine = F.pmod(F.xxhash64("entity", "centre"), F.col("g"))
-    dealt = parts.select("centre", "entity", "g", mine.alias("mine")).select("centre", "entity", "g", "mine", F.explode(F.expr("sequence(0L, g - 1)")).alias("other"))
-    tiles = dealt.filter("g = 1 OR mine <> other").select("entity", "centre", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    half = REGION // 2
+    large = members.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > REGION)
+    large = materialize(large.withColumn("g", F.ceil(F.col("n") / half).cast("long")), "large")
+    plain = members.withColumn("home", F.lit(None).cast("long"))
+    own = None
+    if not large.isEmpty():
+        homes = materialize(_homes(sets, members.join(large, "centre"), rows is not None), "homes")
+        plain = members.join(homes, "entity", "left")
+        own = homes
+    mine = F.pmod(F.xxhash64("entity", "centre"), F.greatest(F.lit(1).cast("long"), F.col("g")))
+    away = F.col("home").isNull() | (F.col("home") != F.col("centre"))
+    # Shares of a region: first those of the texts that aren't at home (out), then those of the others (g - out).
+    outside = plain.join(large.select("centre"), "centre", "left_semi").filter(away).groupBy("centre").agg(F.count(F.lit(1)).alias("m"))
+    sized = large.join(outside, "centre", "left").select("centre", F.ceil(F.coalesce("m", F.lit(0)) / half).cast("long").alias("out"), F.ceil((F.col("n") - F.coalesce("m", F.lit(0))) / half).cast("long").alias("inn"))
+    shared = plain.join(sized, "centre", "left").withColumn("g", F.when(away, F.col("out")).otherwise(F.col("inn")))
+    shared = shared.withColumn("mine", F.when(F.col("out").isNull(), 0).when(away, mine).otherwise(F.col("out") + mine)).select("centre", "entity", "home", "out", "inn", "mine", away.alias("away"))
+    # A text that isn't at home meets all shares, one at home those of the others.
+    others = F.when(F.col("out").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("out") == 0, F.array().cast("array<long>")).when(F.col("away"), F.expr("sequence(0L, out + inn - 1)")).otherwise(F.expr("sequence(0L, out - 1)"))
+    dealt = shared.withColumn("other", F.explode(others))
+    alone = (F.col("out") == 1) & (F.col("inn") == 0)
+    tiles = dealt.filter(F.col("out").isNull() | alone | (F.col("mine") != F.col("other"))).select("entity", "centre", "home", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     full = tiles.join(sets.select("entity", "items"), "entity")
     carried, joined = ["entity", "items"], _joined
     if rows is not None:
         lists = members.groupBy("entity").agg(F.sort_array(F.collect_list("centre")).alias("centres")).join(rows, "entity")
-        full, carried, joined = full.join(lists, "entity"), ["entity", "items", "mine", "rows", "centres"], _counted
+        full, carried, joined = full.join(lists, "entity"), ["entity", "items", "mine", "rows", "home", "centres"], _counted
 
     def join(batches):
         key, held = None, []
@@ -349,13 +400,21 @@ def _links(sets: DataFrame, rows: DataFrame | None = None) -> DataFrame:
                     yield from joined(key, held)
                     held = []
                 key = new
-                held.append((row[0].as_py(), np.frombuffer(row[1].as_py(), np.uint64), *(x.as_py() for x in row[2:4]), *(np.asarray(x.values) for x in row[4:])))
+                held.append((row[0].as_py(), np.frombuffer(row[1].as_py(), np.uint64), *(x.as_py() for x in row[2:5]), *(np.asarray(x.values) for x in row[5:])))
         if held:
             yield from joined(key, held)
 
     # Sorted, a region's rows follow each other: a task holds one region at a time.
     ordered = full.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
-    return ordered.select("centre", "i", "j", *carried).mapInArrow(join, "a long, b long, n long")
+    found = ordered.select("centre", "i", "j", *carried).mapInArrow(join, "a long, b long, n long")
+    if own is None:
+        return found
+    found = found.unionByName(own.filter("entity <> home").select(F.col("entity").alias("a"), F.col("home").alias("b"), F.lit(0).cast("long").alias("n")))
+    if rows is None:
+        return found
+    held = own.join(rows, "entity")
+    total = held.groupBy("home").agg(F.sum("rows").alias("total"))
+    return found.unionByName(held.join(total, "home").filter("total > rows").select(F.col("entity").alias("a"), F.lit(None).cast("long").alias("b"), (F.col("total") - F.col("rows")).alias("n")))
 
 
 def _batch(a, b, n) -> pa.RecordBatch:
@@ -372,9 +431,13 @@ def _counted(key: tuple, held: list[tuple]):
     """Of the pairs of a tile that link, those that no other tile or region has to count."""
     if len(held) < 2:
         return
-    (centre, low, high), (names, items, mine, rows, centres) = key, zip(*held, strict=True)
+    (centre, low, high), (names, items, mine, rows, homes, centres) = key, zip(*held, strict=True)
     names, mine, rows = np.array(names, np.int64), np.array(mine, np.int64), np.array(rows, np.int64)
+    settled, home = np.array([x is not None for x in homes]), np.array([x or 0 for x in homes], np.int64)
     i, j = ball_pairs(list(items))
+    # Texts of one home are counted there.
+    apart = ~(settled[i] & settled[j] & (home[i] == home[j]))
+    i, j = i[apart], j[apart]
     # Texts of one share of a region meet in each of the share's tiles, and count in the first.
     here = (mine[i] != mine[j]) | (low == high) | ((low == 0) & (high == np.where(mine[i] == 0, 1, mine[i])))
     i, j = i[here], j[here]

@@ -169,6 +169,32 @@ def test_jaccard_links_count_every_pair(spark, docs, rows, monkeypatch):
     assert sorted(tuple(r)[:3] for r in got) == sorted(_components([(*r, None) for r in near]))
 
 
+def test_near_copies_replicate_linearly(spark, monkeypatch):
+    """Regions of many shares: a group's texts meet their home once, and few of them meet in tiles; the counts stay exact."""
+    rng = random.Random(14)
+    def edited(words, k):
+        out = list(words)
+        for at in rng.sample(range(len(out)), k):
+            out[at] = f"e{rng.randint(0, 30)}"
+        return " ".join(out)
+
+    base = [[f"b{k}_{i}" for i in range(150)] for k in range(2)]
+    texts = [edited(base[0], rng.choice([0, 1, 1, 2])) for _ in range(200)] + [edited(base[1], rng.choice([1, 2, 4, 6])) for _ in range(120)] + [edited(base[0][:75] + base[1][75:], 1) for _ in range(20)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(jaccard_join, "REGION", 16)
+    made = {}
+    real = jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name="step": made.setdefault(name, real(df, name)))
+    got = jaccard_join.jaccard_links(docs).collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == sorted(_links(rows))
+    assert sorted(tuple(r)[:3] for r in got) == sorted(_components([(*r, None) for r in rows]))
+    assert made["homes"].count() >= 100
+    made.clear()
+    assert sorted(map(tuple, jaccard_join.jaccard_components(docs).collect())) == sorted(_components([(*r, None) for r in rows]))
+    assert made["homes"].count() >= 200
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 100), (200, 200)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
