@@ -6,7 +6,7 @@ text's n-grams, and a fitted slope and offset turn the mean into a margin. Decod
 codeword, the logistic losses of the margins, weighted by how well each bit does on training rows;
 the least loss wins, and a small lead over the second is flagged.
 
-Training reads at most TRAIN_ROWS rows, picked by a hash of the id, in one scan of ids and languages
+Training reads at most TRAIN_ROWS rows, picked by a hash of the id, in two scans of ids and languages
 and one of texts, however many languages there are; prediction is a narrow map.
 """
 
@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import LETTERS, LOWER, materialize, text_buffer
+from tessera.llm.shared import LETTERS, LOWER, text_buffer
 
 #: Bound of the training sample, shared equally by the languages.
 TRAIN_ROWS = 4000
+#: So many times a language's part is picked, since some picks may have no text.
+SPARE = 4
 ORDERS, BUCKET_BITS, LEAD, CHUNK = (2, 4), 14, 0.2, 1 << 18
 UNDETERMINED = "und"
 _FOLD = np.where(LETTERS, LOWER, 32).astype(np.uint64)
@@ -144,24 +146,25 @@ def train(texts: list[str], langs: list[str]) -> Model | None:
 def fit(docs: DataFrame, in_training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learns from rows with a text and a language for which `in_training` holds; None if there are none.
 
-    Of each language, the ids with the least hashes are picked first (as many as all languages may
-    have together, from each task, without reading texts), then the rows that have a text among them,
-    as many as a language may have: by the hash, then by text, so the rows' order doesn't matter.
+    Of each language, ids are picked by a hash, without reading texts: a share that its number of rows
+    sets, so few rows meet in a task. Of the rows that have a text among them, a language has as many
+    as its part of TRAIN_ROWS: by the hash, then by text, so the rows' order doesn't matter.
     """
-    named = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), in_training.alias("__known"))
-    place = Window.partitionBy("__lang").orderBy(F.xxhash64("__id", F.lit(7)), "__id")
-    near = named.filter("__known AND __lang IS NOT NULL").select("__id", "__lang").withColumn("no", F.row_number().over(place)).filter(F.col("no") <= TRAIN_ROWS)
-    picks = materialize(near, "picks")
+    named = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), in_training.alias("__known")).filter("__known AND __lang IS NOT NULL").drop("__known")
     # One row for each language; languages are few (a documented limit of the driver's memory).
-    languages = picks.select("__lang").distinct().count()
-    if not languages:
+    found = {r[0]: r[1] for r in named.groupBy("__lang").count().collect()}
+    if not found:
         return None
-    each = max(20, TRAIN_ROWS // languages)
-    chosen = picks.filter(F.col("no") <= 2 * each).select(F.col("__id").alias("__pick"), F.col("__lang").alias("__of")).distinct()
+    each, place = max(20, TRAIN_ROWS // len(found)), F.xxhash64("__id", F.lit(7))
+    shares = docs.sparkSession.createDataFrame([(lang, int((1 << 40) * min(1.0, SPARE * each / n))) for lang, n in sorted(found.items())], "__of string, __cut long")
+    near = named.join(F.broadcast(shares), F.col("__lang") == F.col("__of")).filter(F.pmod(place, F.lit(1 << 40)) <= F.col("__cut"))
+    first = Window.partitionBy("__lang").orderBy(F.pmod(place, F.lit(1 << 40)), "__id")
+    chosen = near.select("__id", "__lang").distinct().withColumn("no", F.row_number().over(first)).filter(F.col("no") <= SPARE * each)
+    chosen = chosen.select(F.col("__id").alias("__pick"), F.col("__lang").alias("__of"))
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
-    found = texts.join(F.broadcast(chosen), F.col("__id").eqNullSafe(F.col("__pick")) & (F.col("__lang") == F.col("__of")))
-    last = Window.partitionBy("__lang").orderBy(F.xxhash64("__id", F.lit(7)), "__id", F.xxhash64("__text"))
-    rows = found.withColumn("no", F.row_number().over(last)).filter(F.col("no") <= each).select("__text", "__lang", "no").orderBy("__lang", "no").toArrow()
+    met = texts.join(F.broadcast(chosen), F.col("__id").eqNullSafe(F.col("__pick")) & (F.col("__lang") == F.col("__of")))
+    last = Window.partitionBy("__lang").orderBy(F.pmod(place, F.lit(1 << 40)), "__id", F.xxhash64("__text"))
+    rows = met.withColumn("no", F.row_number().over(last)).filter(F.col("no") <= each).select("__text", "__lang", "no").orderBy("__lang", "no").toArrow()
     return train(rows.column(0).to_pylist(), rows.column(1).to_pylist())
 
 
