@@ -147,7 +147,7 @@ def _supported(docs: DataFrame, text_col: str, k: int, tokens: int, texts: int)
             runs = np.diff(np.append(edge, len(region))).astype("<u4")
             ids = names[owner[edge]]
             cut = np.flatnonzero(np.concatenate([[True], region[edge][1:] != region[edge][:-1]])) if len(edge) else np.empty(0, np.int64)
-            stop = np.append(cut[1:], len(edge))
+            stop = np.append(cut[1:], len(edge))[: len(cut)]
             out = {"region": [], "ids": [], "runs": [], "short": []}
             for lo, hi in zip(cut, stop, strict=True):
                 end = edge[hi] if hi < len(edge) else len(region)
