@@ -6,7 +6,7 @@ repeated more than a limit allows; e = 1 leaves the shares, e = 0 makes them equ
 least at which every document is used at least once, or a given number of tokens.
 
 A weight is realised as whole epochs of its source and one partial epoch. For the latter, documents
-are dealt to BLOCKS blocks by a hash, the blocks are permuted, and blocks are taken in that order
+are dealt to blocks by a hash, the blocks are permuted, and blocks are taken in that order
 until the budget is met; of the block in which it runs out, documents are taken in hash order while
 they fit. Each source's decision is four numbers, so documents aren't shuffled: the table of sources
 is joined to them, and Spark broadcasts it only if its size allows.
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import materialize
 
-BLOCKS, CUTS, ROUNDS = 1024, 32, 9
+#: At least so many blocks; of more rows, one for each BLOCK_ROWS, so that the one block a source is cut in stays small.
+BLOCKS, BLOCK_ROWS, CUTS, ROUNDS = 1024, 10_000, 32, 9
 
 
 def tokens(text: Column) -> Column:
@@ -60,10 +61,15 @@ def exponent(sources: DataFrame, max_repeats: float | None = None, entropy: floa
     return hi
 
 
-def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_repeats: float | None, entropy: float | None, budget: int | None, seed: int) -> DataFrame:
-    """A row for each source: source, n, weight, epochs (whole ones), cut, last_block, last_cut."""
+def blocks_of(docs: DataFrame) -> int:
+    return max(BLOCKS, -(-docs.count() // BLOCK_ROWS))
+
+
+def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_repeats: float | None, entropy: float | None, budget: int | None, seed: int, among: int | None = None) -> DataFrame:
+    """A row for each source: source, n, weight, epochs (whole ones), cut, last_block, last_cut; `among` so many blocks."""
+    among = among or blocks_of(docs)
     sized = docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("n"))
-    per_block = sized.select("source", "n", _hash(1, 8, seed, F.col("id")).alias("h")).groupBy("source", F.pmod("h", F.lit(BLOCKS)).alias("block")).agg(F.sum("n").alias("n"))
+    per_block = sized.select("source", "n", _hash(1, 8, seed, F.col("id")).alias("h")).groupBy("source", F.pmod("h", F.lit(among)).alias("block")).agg(F.sum("n").alias("n"))
     blocks = materialize(per_block, "blocks")
     sources = blocks.groupBy("source").agg(F.sum("n").alias("n"))
     some = materialize(sources.filter("n > 0"), "sources")
@@ -74,7 +80,7 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_repea
     used = some.agg(F.max(F.col("n") / weight)).first()[0] if budget is None else budget
     epochs = F.lit(float(used or 0)) * weight / F.col("n") + F.lit(1e-9)
     split = some.select("source", F.col("n").alias("total"), weight.alias("weight"), F.floor(epochs).alias("epochs"), ((epochs - F.floor(epochs)) * F.col("n")).alias("wanted"))
-    order = _hash(1, 8, seed, F.col("source"), F.col("block"), F.col("epochs")) * BLOCKS + F.col("block")
+    order = _hash(1, 8, seed, F.col("source"), F.col("block"), F.col("epochs")) * among + F.col("block")
     parts = split.select(F.col("source").alias("split_source"), "epochs", "wanted")
     placed = blocks.join(parts, F.col("source").eqNullSafe(F.col("split_source"))).select("source", "block", "n", "epochs", "wanted", order.alias("spot"))
     run = F.sum("n").over(Window.partitionBy("source").orderBy("spot"))
@@ -83,7 +89,7 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_repea
     cut = dealt.filter("fits").groupBy("source").agg(F.max("spot").alias("cut"))
     edge = materialize(last.select(F.col("source").alias("edge_source"), F.col("last.block").alias("last_block"), F.col("last.left").alias("left")), "edges")
     # The documents of one block of each source, in hash order.
-    inside = sized.join(F.broadcast(edge) if edge.count() <= 100_000 else edge, F.col("source").eqNullSafe(F.col("edge_source")) & (F.pmod(_hash(1, 8, seed, F.col("id")), F.lit(BLOCKS)) == F.col("last_block")))
+    inside = sized.join(F.broadcast(edge) if edge.count() <= 100_000 else edge, F.col("source").eqNullSafe(F.col("edge_source")) & (F.pmod(_hash(1, 8, seed, F.col("id")), F.lit(among)) == F.col("last_block")))
     line = inside.withColumn("v", _hash(9, 12, seed, F.col("id")))
     taken = line.withColumn("run", F.sum("n").over(Window.partitionBy("edge_source").orderBy("v"))).filter(F.col("run") <= F.col("left"))
     last_cut = taken.groupBy("edge_source").agg(F.max("v").alias("last_cut"))
@@ -103,12 +109,13 @@ def mix(docs: DataFrame, max_repeats: float | None = 1.5, entropy: float | None
     give no rows. Columns that are already called as the new ones are replaced.
     """
     docs = docs.drop("mix_weight", "mix_epoch", "mix_block")
-    told = plan(docs, id_col, text_col, source_col, max_repeats, entropy, budget, seed)
+    among = blocks_of(docs)
+    told = plan(docs, id_col, text_col, source_col, max_repeats, entropy, budget, seed, among)
     plans = told.select(*[F.col(c).alias(f"__mix_{c}") for c in told.columns])
     both = docs.join(plans, docs[source_col].eqNullSafe(plans["__mix_source"]))
-    block = F.pmod(_hash(1, 8, seed, F.col(id_col)), F.lit(BLOCKS))
+    block = F.pmod(_hash(1, 8, seed, F.col(id_col)), F.lit(among))
     both = both.withColumn("mix_block", block)
-    spot = _hash(1, 8, seed, F.col("__mix_source"), F.col("mix_block"), F.col("__mix_epochs")) * BLOCKS + F.col("mix_block")
+    spot = _hash(1, 8, seed, F.col("__mix_source"), F.col("mix_block"), F.col("__mix_epochs")) * among + F.col("mix_block")
     more = (spot <= F.col("__mix_cut")) | ((F.col("mix_block") == F.col("__mix_last_block")) & (_hash(9, 12, seed, F.col(id_col)) <= F.col("__mix_last_cut")))
     copies = F.col("__mix_epochs") + F.when(more, 1).otherwise(0)
     rows = both.withColumn("__mix_copies", copies).filter("__mix_copies > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__mix_copies") - 1)))
