@@ -46,6 +46,22 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_links(table(spark, sf_dir, "documents"))
 
 
+#: Brute force: all pairs of rows that share a shingle, with the numbers they share; components by reachability.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS items FROM w),
+n AS (SELECT r, doc_id, len(items) AS n FROM s),
+e AS (SELECT r, unnest(items) AS item FROM s),
+i AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM e a JOIN e b ON a.item = b.item AND a.r < b.r GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT r AS a, r AS b FROM n UNION SELECT c.a, u.b FROM c JOIN u ON u.a = c.b)
+SELECT n.doc_id, n.n AS n_shingles, g.component_id, coalesce(k.n, 0) AS n_links
+FROM n JOIN (SELECT c.a, min(o.doc_id) AS component_id FROM c JOIN n o ON o.r = c.b GROUP BY c.a) g ON g.a = n.r LEFT JOIN (SELECT a, count(*) AS n FROM u GROUP BY a) k ON k.a = n.r
+"""
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages to archives in the shared folder and reads them back."""
     pages = table(spark, sf_dir, "pages")
@@ -101,9 +117,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(1 + length(text) - length(replace(text, ' ', '')) + length(text) - length(replace(text, chr(10), '')), 0) AS n,
-         ('0x' || substr(md5(concat_ws(':', '1', doc_id)), 1, 8))::BIGINT % {mixing.BLOCKS} AS block,
+         ('0x' || substr(md5(concat_ws(':', '1', doc_id)), 1, 8))::BIGINT % blocks AS block, blocks,
          ('0x' || substr(md5(concat_ws(':', '1', doc_id)), 9, 12))::BIGINT AS v
-  FROM documents),
+  FROM documents, (SELECT greatest({mixing.BLOCKS}, (count(*) + {mixing.BLOCK_ROWS - 1}) // {mixing.BLOCK_ROWS}) AS blocks FROM documents) z),
 s AS (SELECT source, sum(n)::DOUBLE AS n FROM d GROUP BY source),
 e AS (SELECT CASE WHEN max(n) <= {MAX_REPEATS} * min(n) THEN 0 ELSE 1 - ln({MAX_REPEATS}) / ln(max(n) / min(n)) END AS e FROM s),
 w AS (SELECT source, n, n ** e / sum(n ** e) OVER () AS weight FROM s, e),
@@ -111,7 +127,7 @@ r AS (SELECT source, n, weight, max(n / weight) OVER () * weight / n + 1e-9 AS e
 p AS (SELECT source, weight, floor(epochs)::BIGINT AS epochs, (epochs - floor(epochs)) * n AS wanted FROM r),
 b AS (
   SELECT d.source, d.block, sum(d.n) AS n, any_value(p.wanted) AS wanted,
-         ('0x' || substr(md5(concat_ws(':', '1', d.source, d.block, any_value(p.epochs))), 1, 8))::BIGINT * {mixing.BLOCKS} + d.block AS spot
+         ('0x' || substr(md5(concat_ws(':', '1', d.source, d.block, any_value(p.epochs))), 1, 8))::BIGINT * any_value(d.blocks) + d.block AS spot
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source GROUP BY d.source, d.block),
 c AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY spot) AS run FROM b),
 k AS (SELECT *, run <= wanted AS fits, run > wanted AND run - n <= wanted AS edge, wanted - run + n AS spare FROM c),
@@ -139,4 +155,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op8_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op4_warc": OP4_SQL, "op8_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL}

@@ -44,8 +44,11 @@ def record(kind: str, name: str, url: str | None, date: str, payload: bytes, ref
 
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """page_id, url, html, refers_to. Of equal payloads of at least `min_bytes`, the smallest id isn't a revisit.
+    """page_id, url, html, refers_to, for each row. Of equal payloads of at least `min_bytes`, the smallest id isn't a revisit.
 
+    A null payload is empty. Rows that repeat an id and a payload are alike: all of them responses if
+    that id is the smallest. A null id is never the smallest unless it is the only one, and then a
+    response. No rows give no rows; other columns are not read.
     Only digests are grouped, after being combined in each task; the join back can split a hot digest.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))

@@ -294,6 +294,24 @@ def test_warc(spark, small):
     assert {r["page_id"]: r["refers_to"] for r in told.collect()}[2] is None
 
 
+def test_warc_of_repeated_and_null_ids(spark):
+    rows = [(3, "u", "a"), (3, "u", "a"), (1, "u", "b"), (None, None, "b"), (None, None, "c"), (3, "v", "b")]
+    read = warc.read_archives(shared.materialize(warc.write_archives(warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html", 0)))).collect()
+    digest = {warc.base32_sha1(x.encode()): x for x in "abc"}
+    got = sorted((r["page"] or "", digest[r["payload_digest"]], r["record_type"], r["refers_to"] or "") for r in read)
+    assert got == [("", "b", "revisit", "1"), ("", "c", "response", ""), ("1", "b", "response", ""), ("3", "a", "response", ""), ("3", "a", "response", ""), ("3", "b", "revisit", "1")]
+
+
+def test_mixing_in_many_blocks(spark, monkeypatch):
+    """The number of blocks follows the rows; every document once at least, and the target is met."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 5), "a" if i % 7 else "b") for i in range(3000)], "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 100)
+    assert mixing.blocks_of(docs) == 30
+    got = mixing.mix(docs, 2.0).groupBy("source").agg(F.count("*").alias("n"), F.max("mix_block").alias("b")).collect()
+    assert {r["source"]: round(r["n"] / (428 if r["source"] == "b" else 2572), 1) for r in got} in ({"a": 1.0, "b": 2.0}, {"a": 1.0, "b": 1.9}) and max(r["b"] for r in got) > 20
+
+
 def test_warc_faults():
     good = warc.record("response", "1", "http://a", "2024-01-01T00:00:00Z", b"payload", None)
     assert [f["warc-type"] for f, _ in warc.read_records([good[:10], good[10:]])] == ["response"]

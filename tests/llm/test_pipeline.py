@@ -48,6 +48,22 @@ def test_stages_keep_columns_and_chain(spark, small):
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {find(i) for i in ids}
 
 
+def test_stages_take_odd_tables(spark, small):
+    """Nulls in any column, empty texts, repeated rows, clashing columns and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, digest string, entity long, mix_block int, piece int, range int"
+    rows = [(i, t, None, s, None, "d", 1, 2, 3, 4) for i, (t, s) in enumerate([("one two three four five six", "a"), (None, "a"), ("", None), ("one two three four five six", "b"), ("word " * 3000, "b"), ("one two three four five seven", None)])]
+    rows += [rows[0], (None, "no id", None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None)]
+    for made in (rows, []):
+        docs = spark.createDataFrame(made, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, small).collect(), schema)
+            if made and name == "exact dedup":
+                assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in docs.collect()) == [(False, 2, ""), (False, 3, rows[0][1]), (False, 4, rows[4][1]), (False, 5, rows[5][1]), (True, 0, "no id")]
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, small)
+        assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in docs.collect()}
+        assert bool(made) == bool(out.count())
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, small, name):
     for t in ("documents", "pages"):
