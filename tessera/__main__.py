@@ -10,7 +10,7 @@ import sys
 from pyspark.sql import functions as F
 
 from tessera.operators import audit, runs, score
-from tessera.session import session, written
+from tessera.session import clear, session, written
 from tessera.sources import readers, sinks
 
 
@@ -95,7 +95,9 @@ def main(argv: list[str]) -> int:
         argv = ["predict", *argv]
     args = parser().parse_args(argv)
     try:
-        return args.run(args)
+        done = args.run(args)
+        clear(session())
+        return done
     except ValueError as fault:
         print(f"error: {fault}", file=sys.stderr)
         return 2

@@ -25,18 +25,26 @@ def session(master: str | None = None, name: str = "tessera", **conf: str) -> Sp
     return builder.getOrCreate()
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cuts the lineage of a table that several branches read: writes it to the shared folder and reads it back.
-
-    The folder is the cluster's spark.checkpoint.dir; a temporary one where none is set, as in tests.
-    """
-    spark = df.sparkSession
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder in the shared one that the cluster names in spark.checkpoint.dir; a temporary one only where none is named, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """Cuts the lineage of a table that several branches read: writes it to the scratch folder and reads it back."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application: to be called when no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

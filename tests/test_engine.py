@@ -278,6 +278,21 @@ def test_long_numbers_are_read_whole(spark):
     assert [r["key"] for r in index.number_index(rows).collect()] == ["1" * 900 + "7"]
 
 
+def test_scratch_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from tessera.session import clear, scratch_root, written
+
+    rows = written(spark.range(5), "some")
+    folder = Path(scratch_root(spark).removeprefix("file:").replace("//", "/"))
+    assert rows.count() == 5 and list(folder.glob("some-*"))
+    other = folder.parent / "other"
+    other.mkdir(exist_ok=True)
+    clear(spark)
+    assert not folder.exists() and other.exists()
+    assert written(spark.range(3)).count() == 3
+
+
 def test_violations(spark):
     docs = spark.createDataFrame([("d", "x" * 30)], "documento_id string, texto string")
     cites = spark.createDataFrame([("d", 0, 10, "real", "x"), ("d", 1, 10, "incompleta", None), ("d", 25, 31, "incompleta", None)], "documento_id string, start int, end int, classification string, canonical_id string")
