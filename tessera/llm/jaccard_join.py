@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import NON_SPACE, materialize, mix, text_buffer, token_hashes
+from tessera.llm.shared import NON_SPACE, materialize, mix, release, text_buffer, tidy, token_hashes
 
 #: Link if DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
@@ -118,7 +118,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         for part, flat, sizes in _sized(batches, k):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(entities(flat, sizes))], ["doc_id", "n_shingles", "entity"])
 
-    return docs.select(id_col, text_col).mapInArrow(name, f"doc_id {dict(docs.dtypes)[id_col]}, n_shingles long, entity long")
+    return docs.select(id_col, text_col).mapInArrow(tidy(name), f"doc_id {dict(docs.dtypes)[id_col]}, n_shingles long, entity long")
 
 
 def _supported(docs: DataFrame, text_col: str, k: int, tokens: int, texts: int) -> tuple[DataFrame, DataFrame, int]:
@@ -171,14 +171,17 @@ def _supported(docs: DataFrame, text_col: str, k: int, tokens: int, texts: int)
         shared = (found[short] > 1).astype(np.int64)
         support = np.add.reduceat(shared, np.cumsum(runs) - runs)
         hot = np.flatnonzero(found >= often)
+        often_found = found[hot]
         n = len(ids) + len(hot)
         pad = lambda x, size, front: np.concatenate([np.zeros(front, np.int64), x, np.zeros(size - front - len(x), np.int64)])
         keep = pad(support, n, 0) > 0
         keep[len(ids) :] = True
         region = part.column("region")[0].as_py()
-        return pa.table({"entity": pad(ids, n, 0)[keep], "support": pad(support, n, 0)[keep], "frequent": pad(hot * regions + region, n, len(ids))[keep], "n": pad(found[hot], n, len(ids))[keep]})
+        del three, short, found, shared
+        release()
+        return pa.table({"entity": pad(ids, n, 0)[keep], "support": pad(support, n, 0)[keep], "frequent": pad(hot * regions + region, n, len(ids))[keep], "n": pad(often_found, n, len(ids))[keep]})
 
-    dealt = docs.select(F.lit(0).alias("unused"), text_col).mapInArrow(deal, "region int, ids binary, runs binary, short binary")
+    dealt = docs.select(F.lit(0).alias("unused"), text_col).mapInArrow(tidy(deal), "region int, ids binary, runs binary, short binary")
     counted = materialize(dealt.groupBy("region").applyInArrow(count, "entity long, support long, frequent long, n long"), "support")
     support = counted.filter("support > 0").groupBy("entity").agg(F.sum("support").alias("support"))
     return support, counted.filter("n > 0").select("frequent"), regions
@@ -211,7 +214,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, frequent: np.ndar
             items = pa.array([flat[hi - n : hi].tobytes() for n, hi in zip(sizes, ends, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(entities(flat, sizes)), pa.array(sizes), items, window], ["entity", "n", "items", "window"])
 
-    return docs.select(id_col, text_col).mapInArrow(build, "entity long, n long, items binary, window array<long>")
+    return docs.select(id_col, text_col).mapInArrow(tidy(build), "entity long, n long, items binary, window array<long>")
 
 
 def ball_join(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -352,7 +355,7 @@ def _homes(sets: DataFrame, big: DataFrame, counted: bool) -> DataFrame:
                     out.append((entity.as_py(), centre.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["entity", "home"])
 
-    near = ordered.select("centre", "no", "entity", "items").mapInArrow(meet, "entity long, home long")
+    near = ordered.select("centre", "no", "entity", "items").mapInArrow(tidy(meet), "entity long, home long")
     return near.groupBy("entity").agg(F.min("home").alias("home"))
 
 
@@ -406,7 +409,7 @@ def _links(sets: DataFrame, rows: DataFrame | None = None) -> DataFrame:
 
     # Sorted, a region's rows follow each other: a task holds one region at a time.
     ordered = full.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
-    found = ordered.select("centre", "i", "j", *carried).mapInArrow(join, "a long, b long, n long")
+    found = ordered.select("centre", "i", "j", *carried).mapInArrow(tidy(join), "a long, b long, n long")
     if own is None:
         return found
     found = found.unionByName(own.filter("entity <> home").select(F.col("entity").alias("a"), F.col("home").alias("b"), F.lit(0).cast("long").alias("n")))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialize, text_buffer
+from tessera.llm.shared import materialize, text_buffer, tidy
 
 CACHE_WORDS, CACHE_BYTES, PART_BYTES = 300_000, 48, 4 << 20
 RANK_ROWS = 50_000
@@ -189,7 +189,7 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int, id_col:
         return pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_col, text_col).mapInArrow(tidy(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 # ---- the plan, over the histogram
@@ -355,7 +355,7 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(rows[at, 3] + rank - rows[at, 1]), pa.array(rows[at, 4])], [*fields, "sequence_id", "offset"])
 
     kind = dict(cut.dtypes)["doc_id"]
-    return ranked.select(*fields, "rank").mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select(*fields, "rank").mapInArrow(tidy(place), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", special: bool = True) -> DataFrame:

@@ -19,6 +19,27 @@ def fold_of(modulus: int, id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def release() -> None:
+    """Gives a Python worker's free memory back: workers live on between stages, and what they hold counts against their executor."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        pass
+
+
+def tidy(run):
+    """A function of Arrow batches that releases what it freed once it is through."""
+
+    def through(batches):
+        yield from run(batches)
+        release()
+
+    return through
+
+
 # ---- vectorised token hashing over Arrow string buffers
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

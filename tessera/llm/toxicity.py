@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.jaccard_join import shingle_sets
-from tessera.llm.shared import LETTERS, mix, ranges, text_buffer, token_hashes
+from tessera.llm.shared import LETTERS, mix, ranges, text_buffer, tidy, token_hashes
 
 #: Bounds of the training sample.
 TOXIC_ROWS, CLEAN_ROWS, PART_ROWS = 2000, 4000, 50
@@ -322,7 +322,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             found = model.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, score double, predicted int")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)[id_col]}, score double, predicted int")
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -336,4 +336,4 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(at)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
