@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.jaccard_join import shingle_sets
-from tessera.llm.shared import LETTERS, mix, ranges, text_buffer, tidy, token_hashes
+from tessera.llm.shared import LETTERS, mix, ranges, release, text_buffer, tidy, token_hashes
 
 #: Bounds of the training sample.
 TOXIC_ROWS, CLEAN_ROWS, PART_ROWS = 2000, 4000, 50
@@ -288,8 +288,14 @@ def fit(docs: DataFrame, labels: DataFrame, in_training: Column, id_col: str = "
 
     Rows with a null text or label teach nothing. An id with several texts or labels counts for each.
     Picks go by a hash of the id, then by id, text and label, so they don't depend on the rows' order:
-    TOXIC_ROWS and CLEAN_ROWS ids, and as many rows of them in all.
+    TOXIC_ROWS and CLEAN_ROWS ids, and as many rows of them in all. The driver's Python gives back what training took.
     """
+    model = _fit(docs, labels, in_training, id_col, text_col)
+    release()
+    return model
+
+
+def _fit(docs: DataFrame, labels: DataFrame, in_training: Column, id_col: str, text_col: str) -> Model:
     most = TOXIC_ROWS + CLEAN_ROWS
     known = labels.filter(in_training & F.col("toxic").isNotNull()).select(F.col(id_col).alias("__tessera_id"), (F.col("toxic") == 1).alias("__tessera_toxic"))
     picks = [known.filter(F.col("__tessera_toxic") == kind).orderBy(F.xxhash64("__tessera_id"), "__tessera_id").limit(rows) for kind, rows in ((True, TOXIC_ROWS), (False, CLEAN_ROWS))]

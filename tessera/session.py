@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,11 +37,26 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
 
 
+def ease(spark: SparkSession) -> bool:
+    """Has the driver's JVM give back the native memory that plans and jobs left free in its allocator; False where the JVM can't (before 17.0.9, or not on Linux)."""
+    java, array = spark._jvm.java, spark.sparkContext._gateway.new_array
+    kind, types, said = java.lang.Class.forName, array(java.lang.Class, 4), array(java.lang.Object, 4)
+    try:  # by reflection on the interface: the server's own class isn't exported
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[i] = kind(name)
+        said[0], said[1] = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        kind("javax.management.MBeanServer").getMethod("invoke", types).invoke(java.lang.management.ManagementFactory.getPlatformMBeanServer(), said)
+    except Py4JError:
+        return False
+    return True
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Cuts the lineage of a table that several branches read: writes it to the scratch folder and reads it back."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    ease(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -224,6 +224,13 @@ def test_toxicity(spark, docs, none):
     assert lone.scores(pa.array(["you idiot", "hello", None, ""])).round().tolist() == [1, 0, 0, 0]
 
 
+def test_toxicity_training_gives_memory_back(spark, none, monkeypatch):
+    freed = []
+    monkeypatch.setattr(toxicity, "release", lambda: freed.append(1), raising=False)
+    toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
+    assert freed == [1]
+
+
 def test_toxicity_without_labels_of_both_kinds(spark, none):
     """The label model of the seed voters: it finds what stands beside no label."""
     rng = random.Random(2)

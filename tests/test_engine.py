@@ -278,6 +278,15 @@ def test_long_numbers_are_read_whole(spark):
     assert [r["key"] for r in index.number_index(rows).collect()] == ["1" * 900 + "7"]
 
 
+def test_scratch_tables_ease_the_driver(spark, monkeypatch):
+    from tessera import session
+
+    assert session.ease(spark) in (True, False)
+    eased = []
+    monkeypatch.setattr(session, "ease", lambda spark: eased.append(1))
+    assert session.written(spark.range(5), "some").count() == 5 and eased == [1]
+
+
 def test_scratch_tables_are_deleted(spark):
     from pathlib import Path
 
